@@ -23,6 +23,16 @@ from pyspark.sql import functions as F
 from .common import SPACE, scratch, table
 
 
+#: RocksDB with change logs, bounded memory for each executor, and no preallocated files, of which each partition would hold megabytes.
+STATE_STORE = {
+    "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "rocksdb.changelogCheckpointing.enabled": "true",
+    "rocksdb.boundedMemoryUsage": "true",
+    "rocksdb.maxMemoryUsageMB": "256",
+    "rocksdb.allowFAllocate": "false",
+}
+
+
 def normalised(text: Column) -> Column:
     """text without ASCII white space; null is empty."""
     out = F.coalesce(text, F.lit(""))
@@ -47,9 +57,9 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def stream_state(spark: SparkSession, path: str, checkpoint: str, id_col: str, text_col: str, digest: Callable[[Column], Column] = sha256_of, max_bytes_per_trigger: str | None = None) -> DataFrame:
     """Run the stream over the Parquet files at path that the checkpoint has not seen, then read the state: (digest, keep, size)."""
     schema = spark.read.parquet(path).schema
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB")}
-    after = ("org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "true", "true", "256")
-    for k, v in zip(before, after, strict=True):
+    wanted = {f"spark.sql.streaming.stateStore.{k}": v for k, v in STATE_STORE.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(schema)
