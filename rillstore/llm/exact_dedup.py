@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch, table
+from .common import SPACE, drop, scratch, table
 
 
 #: RocksDB with change logs, bounded memory for each executor, and no preallocated files, of which each partition would hold megabytes.
@@ -95,11 +95,13 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     own = (F.col("__file") == F.col("__kfile")) & (F.col("__row") == F.col("__krow"))
     # full bytes of hits against those of the rows that stay
     shared = held.where("size > 1")
-    wide = rows.select("__id", F.col("__t"), "__file", "__row", digest(norm).alias("digest"), norm.alias("__norm")).join(shared, "digest")
-    keepers = wide.where(own).select(F.col("digest").alias("__d"), F.col("__norm").alias("__knorm"))
-    hits = wide.where(~own)
+    wide = rows.select("__file", "__row", digest(norm).alias("digest"), norm.alias("__norm")).join(shared, "digest")
+    wide = table(wide.select("digest", "__norm", own.alias("__own")), "dedup-hits")  # one shuffle of texts; only those of groups go on
+    keepers = wide.where("__own").select(F.col("digest").alias("__d"), F.col("__norm").alias("__knorm"))
+    hits = wide.where("not __own")
     wrong = hits.join(keepers, (F.col("digest") == F.col("__d"))).where(~(F.col("__norm").cast("binary") == F.col("__knorm").cast("binary"))).select("digest").distinct()
     wrong = table(wrong, "dedup-wrong")
+    drop(wide)
     fine = joined.select(F.col("__id").alias(id_col), F.col("__kid").alias("keep_id"), F.col("size").alias("group_size"), own.alias("kept"), "digest")
     if wrong.isEmpty():
         return fine

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, line_dedup, quality_bands, secret_grammar
+from . import bpe_transducer, chat_format, exact_dedup, line_dedup, quality_bands, secret_grammar, simhash_vptree
 from .common import read
 
 
@@ -25,6 +25,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_vptree.near_dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_grammar.scan(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
@@ -34,12 +39,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.measure(read(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.encode_decode(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op4_secret_scan, op5_quality_rules, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op7_line_dedup, op9_bpe_encode)}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_exact_dedup"] = r"""
