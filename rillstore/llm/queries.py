@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, chat_format, exact_dedup, line_dedup, quality_bands, secret_grammar, simhash_vptree
+from . import bpe_transducer, chat_format, exact_dedup, line_dedup, masked_lm, quality_bands, secret_grammar, simhash_vptree, temperature_mix
 from .common import read
 
 
@@ -54,7 +54,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op7_line_dedup, op9_bpe_encode)}
+def op8_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = temperature_mix.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.select("doc_id", "source", F.col("__n_tokens").alias("n_tokens"), F.col("__pass").alias("pass_no"), F.col("__block").alias("block_no"), F.col("__rank").alias("block_rank"))
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op7_line_dedup, op8_temperature_mix, op9_bpe_encode, op10_lm_score)}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_exact_dedup"] = r"""
