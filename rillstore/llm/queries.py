@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, chat_format, exact_dedup, line_dedup, masked_lm, quality_bands, secret_grammar, simhash_vptree, temperature_mix
+from . import bpe_transducer, chat_format, exact_dedup, line_dedup, masked_lm, quality_bands, secret_grammar, simhash_vptree, suffix_dedup, temperature_mix
 from .common import read
 
 
@@ -39,6 +39,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.measure(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -63,7 +67,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.score_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op7_line_dedup, op8_temperature_mix, op9_bpe_encode, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op6_suffix_dedup, op7_line_dedup, op8_temperature_mix, op9_bpe_encode, op10_lm_score)}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_exact_dedup"] = r"""
