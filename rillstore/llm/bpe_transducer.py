@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import most_frequent
+
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 NEVER = 1 << 62
 
@@ -244,13 +246,9 @@ class Lexicon:
     """The file of compile_lexicon(), mapped into memory."""
 
     def __init__(self, data: bytes) -> None:
-        path = os.path.join(tempfile.gettempdir(), f"rill-lexicon-{hashlib.sha256(data).hexdigest()[:24]}")
-        if not os.path.exists(path):
-            own = f"{path}.{os.getpid()}"
-            with open(own, "wb") as f:
-                f.write(data)
-            os.replace(own, path)
-        with open(path, "rb") as f:
+        with tempfile.TemporaryFile() as f:  # without a name: nothing stays behind
+            f.write(data)
+            f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         whole = np.frombuffer(self.map, np.int64)
         self.root, at, got = int(whole[0]), 7, []
@@ -325,10 +323,9 @@ def decode(ids: np.ndarray, token: list[bytes]) -> str:
 
 
 def frequent_words(df: DataFrame, text_col: str, most: int) -> list[bytes]:
-    """The most frequent letter words of the whole table, with the space before them; ties by the word. most bounds what comes to the driver."""
+    """The most frequent letter words of the whole table, with the space before them. most bounds what comes to the driver."""
     words = df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r" ?\p{L}+"), F.lit(0))).alias("w")).where(F.length("w") <= 40)
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return [r.w.encode() for r in top.select("w").collect()]
+    return [w.encode() for w, _ in most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), "w", most, "bpe-words")]
 
 
 @lru_cache(maxsize=4)
@@ -341,6 +338,11 @@ def _classes(path: str) -> np.ndarray:
     return character_classes(path)
 
 
+@lru_cache(maxsize=1)
+def _lexicon(data: bytes) -> Lexicon:
+    return Lexicon(data)
+
+
 def _slices(values: list, most: int = 2_000_000) -> Iterator[list]:
     got, size = [], 0
     for v in values:
@@ -364,10 +366,10 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
     shared = df.sparkSession.sparkContext.broadcast((data, np.packbits(np.unpackbits(_classes(vocabulary)[:, None], axis=1)[:, 6:]).tobytes()))  # lexicon_words bounds the first, 272 kB the second
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, packed = shared.value
+        packed = shared.value[1]
         bits = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(-1, 2)
         m = _merger(vocabulary)
-        enc = Encoder(m, Lexicon(lexicon), bits[:, 0] * 2 + bits[:, 1])
+        enc = Encoder(m, _lexicon(shared.value[0]), bits[:, 0] * 2 + bits[:, 1])
         for batch in batches:
             rows = []
             for texts in _slices([x.as_py() or "" for x in batch.column(1)]):

@@ -48,6 +48,25 @@ def drop(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def most_frequent(counts: DataFrame, key: str, most: int, name: str) -> list[tuple[str, int]]:
+    """At most `most` (key, n) of counts(key, n), the most frequent ones first, ties by key.
+
+    The cut is found from a histogram of n by steps of a 16th of a power of two (at most about a thousand rows), so that
+    no task and not the driver ever sorts or gathers more than `most` keys; what stands at the cut's step stays out.
+    """
+    held = table(counts.select(key, "n"), name)
+    step = F.floor(F.log2("n") * 16)
+    left, low = most, None
+    for r in sorted(held.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.s):
+        left -= r.k
+        if left < 0:
+            break
+        low = r.s
+    rows = [] if low is None else held.where(step >= low).collect()
+    drop(held)
+    return sorted(((r[key], r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b), by large-star and small-star rounds.
 
