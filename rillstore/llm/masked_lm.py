@@ -2,7 +2,7 @@
 
 Every token of a text is predicted from the window tokens on both sides of it, and the sum of the log-probabilities is
 the text's score. The network: position-weighted sum of the neighbours' embeddings, a tanh layer, and a two-step softmax
-over a grid of side x side word ids (row first, then the column within the row).
+over a grid of side x side word ids (row first, then the column within the row, for which the row gates the layer).
 
 Word ids come from counts over the whole corpus: the most frequent words have one each, the rest share a row of buckets.
 Training covers the whole corpus too. In each round every partition masks a share of its positions (by a hash of text and
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import most_frequent
+
 
 @dataclass(frozen=True)
 class Network:
@@ -46,12 +48,13 @@ class Network:
 
     def shapes(self) -> dict[str, tuple[int, ...]]:
         s, d = self.side, self.dim
-        return {"E": (self.size + 1, d), "P": (2 * self.window, d), "c": (d,), "A": (d, s), "a": (s,), "G": (s, d), "B": (d, s), "b": (s, s)}
+        return {"E": (self.size + 1, d), "P": (2 * self.window, d), "c": (d,), "A": (d, s), "a": (s,), "U": (s, d), "G": (s, d), "B": (d, s), "b": (s, s)}
 
     def start(self, counts: np.ndarray) -> dict[str, np.ndarray]:
         """Small random weights; biases from the corpus counts of the ids."""
         rng = np.random.default_rng(self.seed)
         p = {k: (rng.standard_normal(v) * 0.1).astype(np.float32) for k, v in self.shapes().items()}
+        p["U"] += 1
         p["P"] += 1 / np.float32(np.sqrt(2 * self.window))
         p["E"][-1] = 0
         grid = counts.reshape(self.side, self.side) + 0.5
@@ -84,12 +87,10 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, text_col: str, net: Network) -> tuple[dict[bytes, int], np.ndarray]:
     """Ids of the most frequent words, and the count of each id. What reaches the driver is bounded by net.size."""
-    counts = word_counts(df, text_col)
-    most = net.size - net.side
-    rows = counts.orderBy(F.desc("n"), "word").limit(most).collect()
-    ids = {r.word.encode(): net.side + k for k, r in enumerate(rows)}
+    rows = most_frequent(word_counts(df, text_col), "word", net.size - net.side, "lm-words")
+    ids = {w.encode(): net.side + k for k, (w, _) in enumerate(rows)}
     n = np.zeros(net.size)
-    n[net.side : net.side + len(rows)] = [r.n for r in rows]
+    n[net.side : net.side + len(rows)] = [k for _, k in rows]
     n[: net.side] = max(1.0, n[net.side :].sum() * 0.1 / net.side)
     return ids, n
 
@@ -123,7 +124,7 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray, net: Networ
     u -= u.max(1, keepdims=True)
     eu = np.exp(u)
     su = eu.sum(1)
-    g = h + p["G"][row]
+    g = h * p["U"][row] + p["G"][row]
     v = g @ p["B"] + p["b"][row]
     v -= v.max(1, keepdims=True)
     ev = np.exp(v)
@@ -143,12 +144,12 @@ def train_step(p: dict[str, np.ndarray], acc: dict[str, np.ndarray], x: np.ndarr
     du /= m
     dv /= m
     dg = dv @ p["B"].T
-    dh = du @ p["A"].T + dg
+    dh = du @ p["A"].T + dg * p["U"][row]
     dh0 = dh * (1 - h * h)
     grads = {"A": h.T @ du, "a": du.sum(0), "B": g.T @ dv, "c": dh0.sum(0), "P": np.stack([(dh0 * e).sum(0) for e in emb])}
     hot = np.zeros((len(at), net.side), np.float32)
     hot[r, row] = 1
-    grads["G"], grads["b"] = hot.T @ dg, hot.T @ dv
+    grads["G"], grads["U"], grads["b"] = hot.T @ dg, hot.T @ (dg * h), hot.T @ dv
     for k, d in grads.items():
         acc[k] += d * d
         p[k] -= net.rate * d / np.sqrt(acc[k])
