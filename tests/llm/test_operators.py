@@ -415,5 +415,5 @@ def test_network_gradients():
     x, at, _ = masked_lm.lay_out([[int(v) for v in rng.integers(0, 16, 40)] for _ in range(3)], net)
     p = net.start(np.ones(16))
     acc = {k: np.full(v.shape, 0.01, np.float32) for k, v in p.items()}
-    seen = [masked_lm.train_step(p, acc, x, at, net) for _ in range(60)]
+    seen = [masked_lm.train_step(p, acc, x, at, net) for _ in range(400)]
     assert seen[-1] > seen[0] + 0.3
