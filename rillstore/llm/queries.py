@@ -98,3 +98,30 @@ select s.doc_id, any_value(n_lines) as n_lines, count(c.p) as n_removed,
   sha256(coalesce(string_agg(line, chr(10) order by s.p) filter (c.p is null), '')) as kept_sha256
 from s left join c on s.doc_id = c.doc_id and s.p = c.p group by s.doc_id
 """
+ORACLE_SQL["op8_temperature_mix"] = r"""
+with recursive t as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as n,
+  cast('0x' || substr(md5('17:block:' || doc_id), 1, 15) as bigint) as hb, cast('0x' || substr(md5('17:doc:' || doc_id), 1, 15) as bigint) as hd from documents),
+per as (select source, cast(sum(n) as bigint) as n from t group by 1 having sum(n) > 0),
+tot as (select cast(sum(n) as double) as total from per),
+sh as (select source, n, n / total as p, total from per, tot),
+bis(i, lo, hi) as (select 0, cast(0 as double), cast(1 as double) union all
+  select i + 1, case when e > goal then m else lo end, case when e > goal then hi else m end from (
+    select i, lo, hi, (lo + hi) / 2 as m, ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) as e, 0.95 * ln(count(*)) as goal
+    from bis, sh where i < 60 group by i, lo, hi)),
+ent as (select (lo + hi) / 2 as a from bis where i = 60),
+lim(i, lo, hi) as (select 0, a, cast(1 as double) from ent union all
+  select i + 1, case when r > 4 then m else lo end, case when r > 4 then hi else m end from (
+    select i, lo, hi, (lo + hi) / 2 as m, max(pow(p, (lo + hi) / 2) * total / n) / sum(pow(p, (lo + hi) / 2)) as r from lim, sh where i < 60 group by i, lo, hi)),
+al as (select case when (select max(pow(p, ent.a) * total / n) / sum(pow(p, ent.a)) from sh) > 4 then (select (lo + hi) / 2 from lim where i = 60) else ent.a end as a from ent),
+ex as (select source, n, pow(p, a) / (select sum(pow(p, al.a)) from sh) * total as x, total from sh, al),
+bud as (select source, n, floor(x) + case when row_number() over (order by floor(x) - x, source) <= total - sum(floor(x)) over () then 1 else 0 end as budget, greatest(1, (n + 1048575) // 1048576) as blocks from ex),
+doc as (select t.*, bud.n as total_n, cast(budget as bigint) as budget, hb % blocks as block_no from t join bud on t.source = bud.source),
+blk as (select source, block_no, any_value(total_n) as total_n, any_value(budget) as budget, cast(sum(n) as bigint) as bn from doc group by 1, 2),
+pas as (select *, unnest(range(0, budget // total_n + 1)) as pass_no from blk),
+ran as (select *, row_number() over w as block_rank, sum(bn) over w as cum from pas
+  window w as (partition by source, pass_no order by cast('0x' || substr(md5('17:pass:' || pass_no || ':' || source || ':' || block_no), 1, 15) as bigint), block_no rows unbounded preceding)),
+tak as (select *, case when pass_no = budget // total_n and cum > budget % total_n then budget % total_n - (cum - bn) end as need from ran where pass_no < budget // total_n or cum - bn < budget % total_n),
+got as (select d.doc_id, d.source, d.n as n_tokens, k.pass_no, d.block_no, k.block_rank, k.need,
+  sum(d.n) over (partition by d.source, d.block_no, k.pass_no order by d.hd, d.doc_id rows unbounded preceding) as upto from doc d join tak k on d.source = k.source and d.block_no = k.block_no)
+select doc_id, source, n_tokens, pass_no, block_no, block_rank from got where need is null or upto <= need
+"""

@@ -1,8 +1,9 @@
 """Mixing sources to target weights: temperature mixing, and budgeted block permutations.
 
 A source's share of the tokens is raised to an exponent and normalised. Exponent 1 keeps the natural mixture, 0 makes all
-sources equal. The exponent is bisected until the mixture's entropy is a given part of the greatest possible, or, where
-that would repeat a source more often than the limit, until the limit is met. A source's budget is its weight of the
+sources equal. The exponent is bisected between the two until the mixture's entropy is a given part of the greatest
+possible (a natural mixture that is flatter already stays as it is), or, where that would repeat a source more often than
+the limit, until the limit is met. A source's budget is its weight of the
 whole budget, in tokens, by largest remainder.
 
 A budget becomes documents by blocks: a source's documents are dealt by hash into blocks of about block_tokens, each pass
@@ -63,7 +64,7 @@ def exponent(counts: list[int], entropy_part: float, max_repeat: float | None, b
     if len(counts) < 2:
         return 1.0
     entropy = lambda a: -math.fsum(x * math.log(x) for x in weights(a) if x > 0)
-    a = bisect(entropy, entropy_part * math.log(len(counts)), 0.0, 8.0)
+    a = bisect(entropy, entropy_part * math.log(len(counts)), 0.0, 1.0)
     repeats = lambda a: max(x * budget / (p * total) for x, p in zip(weights(a), shares, strict=True))
     if max_repeat and repeats(a) > max_repeat and budget <= max_repeat * total:
         a = bisect(repeats, max_repeat, min(a, 1.0), 1.0)
@@ -106,7 +107,7 @@ def plan(rows: DataFrame, entropy_part: float, max_repeat: float | None, budget:
         z, m = per.agg(F.sum(F.pow(p, F.lit(a))), F.max(F.pow(p, F.lit(a)) / F.col("n"))).first()
         return m / z * budget
 
-    a = bisect(entropy, entropy_part * math.log(k), 0.0, 8.0)
+    a = bisect(entropy, entropy_part * math.log(k), 0.0, 1.0)
     if max_repeat and repeats(a) > max_repeat and budget <= max_repeat * total:
         a = bisect(repeats, max_repeat, min(a, 1.0), 1.0)
     z = per.agg(F.sum(F.pow(p, F.lit(a)))).first()[0]
