@@ -16,7 +16,7 @@ from rillstore.llm.queries import vocabulary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_bands.keep(docs)
+    return quality_bands.keep(docs, bands=quality_bands.calibrate(docs, read(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_bands.measure(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return quality_bands.measure(docs, bands=quality_bands.calibrate(docs, read(spark, sf_dir, "labels")))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

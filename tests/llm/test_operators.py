@@ -232,6 +232,20 @@ def test_compression_bands():
     assert b"".join(quality_bands.chunks(prose, 2048)) == prose
 
 
+def test_calibrated_bands(spark, none):
+    rnd = random.Random(4)
+    prose = lambda: " ".join("".join(rnd.choices("etaoinshrdlu", k=rnd.randint(2, 9))) for _ in range(rnd.randint(150, 300)))
+    rows = [(i, prose(), "a", "x", "y") for i in range(150)] + [(None, prose(), "a", "x", "y"), (900, None, "a", "x", "y")]
+    litter = [(1000 + i, "".join(w + rnd.choice(["### ", "$$$ ", "%%% "]) for w in prose().split()), "a", "x", "y") for i in range(40)]
+    docs = spark.createDataFrame(rows + litter, DOC)
+    labels = spark.createDataFrame([(i, 1) for i in range(150)] + [(900, 1), (None, 1)] + [(1000 + i, 0) for i in range(40)], "doc_id long, quality int")
+    bands = quality_bands.calibrate(docs, labels)
+    assert all(a[1] == b[1] and a[2] <= b[2] for a, b in zip(bands.whole, quality_bands.Bands().whole, strict=True)) and bands != quality_bands.Bands()
+    got = {r.doc_id: r.kept for r in quality_bands.measure(docs, bands=bands).collect()}
+    assert all(got[i] for i in range(150)) and sum(not got[1000 + i] for i in range(40)) >= 8
+    assert quality_bands.calibrate(none, labels) == quality_bands.calibrate(docs, labels.limit(0)) == quality_bands.Bands()
+
+
 # 6
 
 

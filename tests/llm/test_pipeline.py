@@ -22,7 +22,8 @@ def test_stages(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     have = {r.doc_id: r.text for r in docs.collect()}
-    z, bands = zstandard.ZstdCompressor(level=3), quality_bands.Bands()
+    z = zstandard.ZstdCompressor(level=3)
+    bands = quality_bands.calibrate(docs, spark.read.parquet(f"{SF}/labels.parquet"), least=20)
     # quality rules
     df = corpus_pipeline.STAGES[0][1](spark, docs, SF)
     have = {i: t for i, t in have.items() if quality_bands.judge(t.encode(), z, bands)[-1]}
