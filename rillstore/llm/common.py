@@ -26,7 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rill/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/rill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's scratch tables, once no result that reads them is needed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/rill/{spark.sparkContext.applicationId}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

@@ -126,3 +126,16 @@ got as (select d.doc_id, d.source, d.n as n_tokens, k.pass_no, d.block_no, k.blo
   sum(d.n) over (partition by d.source, d.block_no, k.pass_no order by d.hd, d.doc_id rows unbounded preceding) as upto from doc d join tak k on d.source = k.source and d.block_no = k.block_no)
 select doc_id, source, n_tokens, pass_no, block_no, block_rank from got where need is null or upto <= need
 """
+ORACLE_SQL["op6_suffix_dedup"] = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as hx from documents),
+c as (select doc_id, c, substr(hx, 2000 * c + 1, 2198) as piece from (select doc_id, hx, unnest(range(0, length(hx) // 2000 + 1)) as c from d)),
+w as (select doc_id, 1000 * c + j as j, md5(substr(piece, 2 * j + 1, 200)) as s from (select *, unnest(range(0, least(1000, length(piece) // 2 - 99))) as j from c)),
+f as (select s, min((doc_id, j)) as first from w group by s having count(*) > 1),
+rep as (select w.doc_id, w.j from w join f on w.s = f.s where (w.doc_id, w.j) > f.first),
+o as (select *, case when j <= lag(j) over (partition by doc_id order by j) + 100 then 0 else 1 end as fresh from rep),
+i as (select doc_id, run, min(j) as a, max(j) + 100 as b from (select *, sum(fresh) over (partition by doc_id order by j) as run from o) group by 1, 2),
+g as (select i.doc_id, a, b, coalesce(lag(b) over (partition by i.doc_id order by a), 0) as before from i),
+k as (select g.doc_id, sum(b - a) as removed, count(*) as spans, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(hx), 2 * max(b) + 1) as kept from g join d on g.doc_id = d.doc_id group by 1)
+select d.doc_id, length(hx) // 2 as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, hx))) as kept_sha256
+from d left join k on d.doc_id = k.doc_id
+"""
