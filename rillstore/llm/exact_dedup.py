@@ -5,9 +5,10 @@ many rows had it, and the stable identifier and content locator (file, row in it
 RocksDB on the executors' disks with its checkpoint in the shared folder, so that a lost executor's part is restored,
 and later runs with the same checkpoint go on where the last one ended, over new files only.
 
-Then every hit is checked: its normalised bytes are joined to the kept row's, found by its locator, and compared in
-full. Rows whose bytes differ under an equal digest are grouped again by their bytes, so that the result is exact with
-any digest.
+Then every hit is checked: the full normalised bytes of all rows of a group, the kept one's included, are compared as
+the least and the greatest of the group, which combines in each task, so that a group of any size is one row for each
+task. Rows whose bytes differ under an equal digest are grouped again by their bytes, so that the result is exact with
+any digest. The locator tells the kept row apart from others that tie with it in everything else.
 
 Cases: null text counts as empty. Null ids lose ties. Repeated rows are members of their group; where two rows tie in
 everything, the smallest locator stays. Extra columns are ignored. An empty table gives an empty one.
@@ -93,13 +94,11 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     keyed = table(rows.select("__id", F.length(F.coalesce("__t", F.lit(""))).alias("__n"), "__file", "__row", digest(norm).alias("digest")), "dedup-keyed")
     joined = keyed.join(held, "digest")
     own = (F.col("__file") == F.col("__kfile")) & (F.col("__row") == F.col("__krow"))
-    # full bytes of hits against those of the rows that stay
-    shared = held.where("size > 1")
-    wide = rows.select("__file", "__row", digest(norm).alias("digest"), norm.alias("__norm")).join(shared, "digest")
-    wide = table(wide.select("digest", "__norm", own.alias("__own")), "dedup-hits")  # one shuffle of texts; only those of groups go on
-    keepers = wide.where("__own").select(F.col("digest").alias("__d"), F.col("__norm").alias("__knorm"))
-    hits = wide.where("not __own")
-    wrong = hits.join(keepers, (F.col("digest") == F.col("__d"))).where(~(F.col("__norm").cast("binary") == F.col("__knorm").cast("binary"))).select("digest").distinct()
+    # full bytes of all members of groups: equal if the least and the greatest are, which combines before the shuffle
+    shared = held.where("size > 1").select(F.col("digest").alias("__d"))
+    wide = rows.select(digest(norm).alias("digest"), norm.cast("binary").alias("__norm"))
+    wide = table(wide.join(shared, F.col("digest") == F.col("__d")).select("digest", "__norm"), "dedup-hits")  # one shuffle of texts; only those of groups go on
+    wrong = wide.groupBy("digest").agg(F.min("__norm").alias("a"), F.max("__norm").alias("b")).where("a <> b").select("digest")
     wrong = table(wrong, "dedup-wrong")
     drop(wide)
     fine = joined.select(F.col("__id").alias(id_col), F.col("__kid").alias("keep_id"), F.col("size").alias("group_size"), own.alias("kept"), "digest")
