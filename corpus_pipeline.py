@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, and fingerprints within NEAR_BITS."""
-    return simhash_vptree.keep_one(docs, shingle=5, radius=NEAR_BITS)
+    """One document of each group stays: sets of five-word shingles at a Jaccard similarity of 0.8 or more."""
+    return simhash_vptree.keep_one_similar(docs, shingle=5, percent=80, radius=NEAR_BITS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_transducer.encode_decode(docs, vocabulary())
 
 
-#: Fingerprints of 64 bits within which two texts count as 0.8 similar.
+#: Fingerprints of 64 bits within which two texts are tried first; what links them is the similarity of their shingles.
 NEAR_BITS = 6
 STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mixture), ("BPE", tokens)]
 #: SQL cannot express zstandard, SimHash or BPE stages; tests/llm hold run() against a brute-force version.

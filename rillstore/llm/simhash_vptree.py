@@ -17,6 +17,12 @@ Equal fingerprints are one class from the start. In a shard, pairs become a fore
 so a large group of near copies never becomes a list of all its pairs. Links of all shards meet in components(), in
 tables on the shared folder.
 
+similar() finds the groups of a shingle-set similarity instead. Candidates are the fingerprint links and pairs with a
+common shingle among the first of both sets in the order of the hashes (prefix filter: sets that reach the threshold share
+one there, so no pair is missed); a pair counts only if the sets themselves reach the threshold. Pairs that verified links
+join already are not listed again, so a large group of near copies does not become all its pairs. Shingles and sets count
+as equal if their 64-bit hashes are.
+
 Cases: null text counts as empty, and has the fingerprint 0 like any text without words. Null and repeated ids pass
 through; a component's id is its smallest id that is not null. Extra columns are ignored. An empty table gives an empty
 one.
@@ -24,13 +30,13 @@ one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, drop, table
@@ -38,24 +44,36 @@ from .common import components, drop, table
 BITS = 64
 
 
-def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """A bit is 1 if over half the XXH64 of the shingles have it."""
+def shingle_hashes(raw: bytes, shingle: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles in order, in parts; a text of fewer words is one shingle, one without words has none."""
     words = raw.lower().split()  # bytes: ASCII letters and ASCII white space only
+    text, h = b" ".join(words), xxhash.xxh64_intdigest
     if not words:
-        return 0
+        return
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    text, h = b" ".join(words), xxhash.xxh64_intdigest
+        yield np.array([h(text, seed)], np.uint64)
+        return
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     m = len(words) - shingle + 1
-    ones = np.zeros(BITS, np.int64)
     for lo in range(0, m, 65536):
         hi = min(m, lo + 65536)
-        got = np.array([h(text[a : b - 1], seed) for a, b in zip(starts[lo:hi], starts[lo + shingle : hi + shingle], strict=True)], np.uint64)
+        yield np.array([h(text[a : b - 1], seed) for a, b in zip(starts[lo:hi], starts[lo + shingle : hi + shingle], strict=True)], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if over half the hashes have it; 0 of none."""
+    m, ones = 0, np.zeros(BITS, np.int64)
+    for got in parts:
+        m += len(got)
         ones += np.unpackbits(got.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > m, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """A bit is 1 if over half the XXH64 of the shingles have it."""
+    return majority(shingle_hashes(raw, shingle, seed))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(__id, __fp) for each row; __fp is the fingerprint as a signed long."""
 
@@ -248,6 +266,117 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
     """The rows of df whose id is their component's; of a group one id stays. Rows without an id stay only if their whole component has none."""
-    found = near_dedup(df, id_col, text_col, shingle, radius)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+    return _first_of_each(df, near_dedup(df, id_col, text_col, shingle, radius), id_col)
+
+
+def _first_of_each(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df but those whose id is nowhere its component's, which are the fewer."""
+    own = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id")))
+    gone = table(found.groupBy(F.col(id_col).alias("__gone")).agg(own.alias("own")).where("not own").select("__gone"), "near-gone")
+    return df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def _least(n, percent: int):
+    """What sets of n elements have in common at least with a similar set; with Column or int."""
+    return -(-n * percent // 100) if isinstance(n, int) else F.floor((n * percent + 99) / 100)
+
+
+#: Places beyond the prefix, one to so many elements: a set with a partner shares as many of them more.
+SPARE = 20
+
+
+def shingle_prefixes(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(__id, t, __fp, key, n, pre) for each row: hash of the text, fingerprint, 64-bit hash and size of the shingle set, and its first hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys, ns, pres = [], [], [], []
+            for x in batch.column(2):
+                parts = list(shingle_hashes(x.as_py() or b"", shingle))
+                every = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
+                n = len(every)
+                fps.append(majority(parts))
+                keys.append(xxhash.xxh3_64_intdigest(every.tobytes()))
+                ns.append(n)
+                pres.append(every[: n - _least(n, percent) + 1 + n // SPARE].view(np.int64))
+            long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(fps), long(keys), pa.array(ns, pa.int64()), pa.array(pres, pa.list_(pa.int64()))], names=["__id", "t", "__fp", "key", "n", "pre"])
+
+    slim = df.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("__raw"))
+    return slim.mapInArrow(run, f"__id {slim.schema[0].dataType.simpleString()}, t long, __fp long, key long, n long, pre array<long>")
+
+
+def shingle_sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(key, hs) for each row: as in shingle_prefixes(), and all of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(x.as_py() or b"", shingle)])) for x in batch.column(0).slice(lo, 256)]
+                keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["key", "hs"])
+
+    return df.select(F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, "key long, hs array<long>")
+
+
+def _reach(x: str, y: str, percent: int) -> Column:
+    """Sets of x and y elements can have that Jaccard similarity."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of keys whose sets have a Jaccard similarity of at least percent / 100."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b").where(_reach("na", "nb", percent))
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("hs").alias(f"s{c}"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int = 3) -> DataFrame:
+    """One row per input row: id_col, component_id under links between shingle sets of Jaccard similarity percent / 100 or more.
+
+    The radius is only how far apart the fingerprints are that are tried first; the result does not depend on it.
+    """
+    rows = table(shingle_prefixes(df, id_col, text_col, shingle, percent), "similar-rows")
+    classes = table(rows.groupBy("key").agg(F.min("__id").alias("first"), F.min("__fp").alias("__fp"), F.first("n").alias("n")), "similar-classes")
+    # prefix hashes of two sets or more, of sets that share enough of them: of l + 1 common elements of a similar pair in
+    # order, both prefixes hold as many as the smaller l allows, and the smaller set has at least _least(n)
+    own = Window.partitionBy("s")
+    each = rows.select(F.explode("pre").alias("s"), "key").select("s", "key", F.min("key").over(own).alias("lo"), F.max("key").over(own).alias("hi"))
+    shared = table(each.where("lo < hi").select("s", "key").distinct(), "similar-shared")
+    able = shared.groupBy("key").agg(F.count("*").alias("k")).join(classes.select("key", "n", "__fp"), "key").where(F.col("k") >= 1 + F.floor(_least(F.col("n"), percent) / SPARE)).select("key", "n", "__fp")
+    able = table(able, "similar-able")
+    pre = table(shared.join(able.select("key", "n"), "key"), "similar-prefixes")
+    drop(shared)
+    texts = rows.join(able.select("key"), "key", "left_semi").groupBy("key").agg(F.min("t").alias("__t")).select("__t")
+    some = df.select(text_col).where(F.length(text_col) > 0).join(texts, F.xxhash64(text_col) == F.col("__t"), "left_semi")
+    sets = shingle_sets(some, text_col, shingle).groupBy("key").agg(F.first("hs").alias("hs"))
+    sets = table(sets.withColumn("n", F.size("hs").cast("long")), "similar-sets")
+    # first, a number of pairs in proportion: fingerprint links, and each prefix hash's sets with two of them
+    faces = able.groupBy("__fp").agg(F.min("key").alias("face"))
+    near = links(faces.select("__fp"), radius)
+    near = near.join(faces.select(F.col("__fp").alias("a"), F.col("face").alias("x")), "a").join(faces.select(F.col("__fp").alias("b"), F.col("face").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = able.join(faces, "__fp").select(F.col("key").alias("a"), F.col("face").alias("b"))
+    star = pre.join(pre.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "s")
+    star = star.select(F.col("key").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
+    sure = table(verified(near.unionByName(same).unionByName(star), sets, percent), "similar-sure")
+    comp = components(sure, "similar-cc")
+    # then every pair of a prefix hash that those leave apart
+    named = table(pre.join(comp, pre["key"] == comp["node"], "left").select("s", "key", "n", F.coalesce("root", "key").alias("root")), "similar-named")
+    mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
+    rest = named.join(mixed, "s", "left_semi")
+    other = rest.select("s", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "root")))
+    pairs = rest.join(other, "s").where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _reach("n", "n_b", percent))
+    enough = F.count("*") >= 1 + F.floor(F.least(F.min("n"), F.min("n_b")) / SPARE)  # a row for each common hash of the prefixes
+    likely = pairs.groupBy(F.col("key").alias("a"), F.col("key_b").alias("b")).agg(enough.alias("enough")).where("enough")
+    every = sure.unionByName(verified(likely.select("a", "b"), sets, percent))
+    comp = components(every, "similar-cc")
+    of = classes.join(comp, classes["key"] == comp["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(of.join(least, "root").select("key", "component_id"), "key").select(F.col("__id").alias(id_col), "component_id")
+
+
+def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int = 3) -> DataFrame:
+    """keep_one() over the groups of similar()."""
+    return _first_of_each(df, similar(df, id_col, text_col, shingle, percent, radius), id_col)
