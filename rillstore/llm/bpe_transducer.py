@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import most_frequent
+from .common import drop, in_arrow, most_frequent, pieces, table
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 NEVER = 1 << 62
@@ -283,7 +283,7 @@ class Lexicon:
 class Encoder:
     """Words to ids: a bounded memory of recent words before the lexicon, the exact merger behind it."""
 
-    def __init__(self, merger: Merger, lexicon: Lexicon, classes: np.ndarray, most: int = 400_000) -> None:
+    def __init__(self, merger: Merger, lexicon: Lexicon, classes: np.ndarray, most: int = 150_000) -> None:
         self.merger, self.lexicon, self.classes, self.most = merger, lexicon, classes, most
         self.special = [s.decode() for s in merger.special]
         self.forget()
@@ -325,7 +325,10 @@ def decode(ids: np.ndarray, token: list[bytes]) -> str:
 def frequent_words(df: DataFrame, text_col: str, most: int) -> list[bytes]:
     """The most frequent letter words of the whole table, with the space before them. most bounds what comes to the driver."""
     words = df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r" ?\p{L}+"), F.lit(0))).alias("w")).where(F.length("w") <= 40)
-    return [w.encode() for w, _ in most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), "w", most, "bpe-words")]
+    counts = table(words.groupBy("w").agg(F.count("*").alias("n")), "bpe-words")
+    got = [w.encode() for w, _ in most_frequent(counts, "w", most)]
+    drop(counts)
+    return got
 
 
 @lru_cache(maxsize=4)
@@ -343,18 +346,6 @@ def _lexicon(data: bytes) -> Lexicon:
     return Lexicon(data)
 
 
-def _slices(values: list, most: int = 2_000_000) -> Iterator[list]:
-    got, size = [], 0
-    for v in values:
-        got.append(v)
-        size += len(v)
-        if size >= most:
-            yield got
-            got, size = [], 0
-    if got:
-        yield got
-
-
 def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 60_000, with_ids: bool = False) -> DataFrame:
     """One row per input row: the id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids (array<int>) and decoded.
 
@@ -370,16 +361,15 @@ def encode_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         bits = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(-1, 2)
         m = _merger(vocabulary)
         enc = Encoder(m, _lexicon(shared.value[0]), bits[:, 0] * 2 + bits[:, 1])
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
-            for texts in _slices([x.as_py() or "" for x in batch.column(1)]):
-                for ids in enc.encode(texts):
-                    text = decode(ids, m.token)
-                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *((ids.astype(np.int32), text) if with_ids else ())))
+            for ids in enc.encode([x.as_py() or "" for x in batch.column(1)]):
+                text = decode(ids, m.token)
+                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *((ids.astype(np.int32), text) if with_ids else ())))
             cols = list(zip(*rows, strict=True)) or [[]] * (5 if with_ids else 3)
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))], names=names[: 1 + len(cols)])
 
     slim = df.select(F.col(id_col), F.col(text_col).alias("__text"))
-    return slim.mapInArrow(run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
+    return in_arrow(slim, run, f"`{id_col}` {slim.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
