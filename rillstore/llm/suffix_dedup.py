@@ -2,36 +2,37 @@
 
 1. Owners. In every window of `width` bytes the least hash of a k-gram (leftmost if equal) is the window's owner; equal
    windows have equal owners at equal offsets. Consecutive windows of one owner are a region. A region is a narrow row
-   (owner's hash, region's hash, document, start, windows); regions repeated in a task's chunk are settled there.
+   (owner's hash, region's hash, document, start, windows); regions repeated in a task's chunk are settled there. Regions
+   count as equal if both hashes are, which are of different families (a polynomial of the k-gram, XXH3 of the region's
+   bytes); bytes are not compared again.
 2. One shuffle by owner, sorted. Of equal regions the first stays as representative and all windows of the others are
    repeats. Only owners with two or more different regions leave something to compare: their representatives.
-3. Shards. Representatives' texts are dealt by owner, so that equal windows meet, and each shard's texts are suffix-sorted
-   by induced sorting. Suffix tuples (position, common prefix with the one before) go through priority queues keyed by
-   first symbol, whose runs are merged and spilled to disk beyond a bound; the sorted S* substrings are named, the string
-   of names is ranked in turn (recursion; a region has few names, so ranks double until they differ), and that order
-   seeds the L pass, whose order seeds the S pass. Common prefixes are carried along: an induced pair has one more than
-   the least value between the two suffixes that induced it. The text of a shard is mapped from a file.
+3. Shards. Representatives' texts are dealt by owner, so that equal windows meet, and each shard's texts are written to a
+   file and suffix-sorted by external induced sorting (induced.py): tuples of position and common prefix go through
+   priority queues on disk, and the string of S* names is sorted by recursion. What a task holds is set by `bound` tuples,
+   not by the shard, so that an owner with very many regions costs its task time and local disk but no more memory.
 4. In the suffix order, a run of common prefixes >= width is a set of equal windows: all but the first by (document,
    position) are repeats. Repeats become byte intervals, and one join by document cuts them out.
 
 Cases: null text counts as empty. A null id sorts first. Rows that repeat both id and text are one document and share
 its result; of two texts under one id, the one with the smaller XXH64 is earlier. Extra columns are ignored. An empty
-table gives an empty one. Whole texts are used, of any length up to 2 GB.
+table gives an empty one. Whole texts are used, of any length that an Arrow batch holds (2 GB).
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import in_arrow, pieces, table
+from .induced import Rows, repeats
 
 WIDTH = 100
 GRAM = 32
@@ -99,7 +100,8 @@ class Regions:
         # a region ends before the next one, or at its document's last window
         count = np.minimum(np.r_[s[1:], n], ends[doc[s]] - self.width + 1) - s
         e = s + count + self.width - 1
-        region = self._mix((sums[e] - sums[s]) * self.down[s] ^ count.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        whole, digest = memoryview(b), xxhash.xxh3_64_intdigest
+        region = np.array([digest(whole[a:z]) for a, z in zip(s.tolist(), e.tolist(), strict=True)], np.uint64)
         return doc[s], s - begins[doc[s]], count, h[owner[s]], region
 
 
@@ -113,13 +115,17 @@ def _batch(*cols: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, ARROW_ROW, strict=True)], names=NAMES)
 
 
-def _make_regions(width: int, chunk: int = 3_000_000) -> Callable:
+def _make_regions(width: int, chunk: int = 1_000_000) -> Callable:
+    """Regions of `chunk` bytes at a time. A longer text is taken in parts that overlap by a window less one byte: a region
+    that a part's end cuts is two regions of one owner, which meet all others of that owner as any do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Regions(width)
 
-        def out(raws: list[bytes], ids: list[int], keys: list[int]) -> pa.RecordBatch:
+        def out(raws: list[bytes], of: list[tuple[int, int, int]]) -> pa.RecordBatch:
             doc, start, count, owner, region = made.find(raws)
-            i, k = np.array(ids, np.int64)[doc], np.array(keys, np.int64)[doc]
+            i, k, begin = np.array(of, np.int64)[doc].T
+            start = start + begin
             order = np.lexsort((start, k, i, region, owner))
             o, r = owner[order], region[order]
             later = np.r_[False, (o[1:] == o[:-1]) & (r[1:] == r[:-1])] if len(o) else np.zeros(0, bool)
@@ -131,18 +137,19 @@ def _make_regions(width: int, chunk: int = 3_000_000) -> Callable:
             spread = np.where(later, (i[order] * 0x9E3779B1 ^ k[order]), o.view(np.int64))
             return _batch(later.astype(np.int8), spread, r.view(np.int64), i[order], k[order], start[order].astype(np.int32), count[order].astype(np.int32))
 
-        raws, ids, keys, size = [], [], [], 0
-        for batch in batches:
+        raws, of, size = [], [], 0
+        for batch in pieces(batches):
             for t, i, k in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raws.append(t.as_py() or b"")
-                ids.append(i)
-                keys.append(k)
-                size += len(raws[-1])
-                if size > chunk:
-                    yield out(raws, ids, keys)
-                    raws, ids, keys, size = [], [], [], 0
+                raw = t.as_py() or b""
+                for at in range(0, max(1, len(raw) - width + 1), chunk):
+                    raws.append(raw[at : at + chunk + width - 1])
+                    of.append((i, k, at))
+                    size += len(raws[-1])
+                    if size > chunk:
+                        yield out(raws, of)
+                        raws, of, size = [], [], 0
         if raws:
-            yield out(raws, ids, keys)
+            yield out(raws, of)
 
     return run
 
@@ -189,298 +196,66 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (owner[-1], region[-1], kind[-1], *(x[-1] for x in c[3:6]))
 
 
-# ---- external induced sorting
+# ---- shards
+
 
+class Shard:
+    """The regions of a shard, in files: the text, a separator after each, and by region its place in the text, id, key and start."""
 
-class Queue:
-    """A priority queue of (symbol, position, prefix) tuples: taken by symbol, in order of arrival within a symbol. Runs are sorted by symbol; more than `runs` are merged, and merged runs above `bound` tuples go to disk."""
+    def __init__(self, folder: str) -> None:
+        self.folder, self.file, self.n, self.last = folder, tempfile.TemporaryFile(dir=folder), 0, None
+        self.places = Rows(folder)
 
-    def __init__(self, folder: str, runs: int = 24, bound: int = 1 << 21) -> None:
-        self.folder, self.most, self.bound = folder, runs, bound
-        self.held: list[list] = []  # [symbols, tuples, first that is left]
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Rows sorted by (id, key, start); rows that repeat all three come once."""
+        ids, keys, starts = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3))
+        for raw, place in zip(batch.column(0), zip(ids.tolist(), keys.tolist(), starts.tolist(), strict=True), strict=True):
+            if place == self.last:
+                continue
+            self.last = place
+            b = np.frombuffer(raw.as_py(), np.uint8)
+            sym = np.zeros(len(b) + 1, np.uint16)
+            sym[:-1] = b
+            sym[:-1] += 1
+            self.file.write(sym.tobytes())
+            self.places.add(np.array([self.n, *place]))
+            self.n += len(sym)
 
-    def push(self, symbols: np.ndarray, pos: np.ndarray, prefix: np.ndarray) -> None:
-        """symbols in order; equal ones in order of arrival."""
-        if not len(symbols):
+    def repeats(self, width: int, bound: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Blocks of (id, key, start, windows) of runs of windows that also start earlier."""
+        if not self.n:
             return
-        self.held.append([symbols.astype(np.int16), pos, prefix, 0])
-        if len(self.held) > self.most:
-            self._merge()
-
-    def _merge(self) -> None:
-        parts = [[np.asarray(x[k][x[3] :]) for x in self.held] for k in range(3)]
-        s, p, q = (np.concatenate(x) for x in parts)
-        order = np.argsort(s, kind="stable")
-        run = [s[order], p[order], q[order]]
-        if len(s) > self.bound:
-            run = [self._spill(x) for x in run]
-        self.held = [[*run, 0]]
-
-    def _spill(self, x: np.ndarray) -> np.ndarray:
-        with tempfile.NamedTemporaryFile(dir=self.folder, delete=False) as f:
-            x.tofile(f)
-        out = np.memmap(f.name, x.dtype, "r")
-        os.unlink(f.name)  # the mapping keeps it
-        return out
-
-    def take(self, symbol: int, descending: bool) -> tuple[np.ndarray, np.ndarray]:
-        """All tuples of the symbol, which is the least (or greatest) left."""
-        pos, prefix = [], []
-        for x in self.held:
-            a, b = np.searchsorted(x[0], symbol, "left"), np.searchsorted(x[0], symbol, "right")
-            if descending:
-                a, b = max(a, x[3]), b
-                cut = slice(a, b)
-                if b > a:
-                    pos.append(np.asarray(x[1][cut]))
-                    prefix.append(np.asarray(x[2][cut]))
-                    x[0], x[1], x[2] = x[0][:a], x[1][:a], x[2][:a]
-            elif b > (a := max(a, x[3])):
-                pos.append(np.asarray(x[1][a:b]))
-                prefix.append(np.asarray(x[2][a:b]))
-                x[3] = int(b)
-        self.held = [x for x in self.held if len(x[0]) > x[3]]
-        if not pos:
-            return np.zeros(0, np.int32), np.zeros(0, np.int16)
-        return np.concatenate(pos), np.concatenate(prefix)
-
-
-class Carried:
-    """Common prefixes of induced tuples: for each symbol, the least value since the last tuple that was pushed for it."""
-
-    def __init__(self, symbols: int, cap: int) -> None:
-        self.least, self.seen, self.cap = np.full(symbols, cap, np.int16), np.zeros(symbols, bool), cap
-
-    def induce(self, prefix: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """prefix: of the scanned tuples; at, symbol: which of them induce, and into which symbol. The order of pushing, and the new values in that order."""
-        n = len(prefix)
-        until = np.minimum.accumulate(prefix)
-        if not len(at):
-            self.least = np.minimum(self.least, until[-1])
-            return at, prefix[:0]
-        order = np.argsort(symbol, kind="stable")
-        k, d = at[order], symbol[order]
-        head = np.r_[True, d[1:] != d[:-1]]
-        value = np.empty(len(k), np.int16)
-        value[head] = np.minimum(self.least[d[head]], until[k[head]])
-        value[head] = np.where(self.seen[d[head]], np.minimum(value[head] + 1, self.cap), 0)
-        rest = np.flatnonzero(~head)
-        if len(rest):
-            lo, hi = k[rest - 1] + 1, k[rest]
-            level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-            got = np.empty(len(rest), np.int16)
-            row, span = prefix, 1
-            for j in range(int(level.max()) + 1):
-                here = np.flatnonzero(level == j)
-                got[here] = np.minimum(row[lo[here]], row[hi[here] - span + 1])
-                if len(row) > span:
-                    row = np.minimum(row[:-span], row[span:])
-                span *= 2
-            value[rest] = np.minimum(got + 1, self.cap)
-        # what remains after the last push of each symbol
-        tail = np.r_[head[1:], True]
-        after = np.full(n + 1, self.cap, np.int16)
-        after[:n] = np.minimum.accumulate(prefix[::-1])[::-1]
-        self.least = np.minimum(self.least, until[-1])
-        self.least[d[tail]] = after[k[tail] + 1]
-        self.seen[d] = True
-        return order, value
-
-
-def sorted_stars(t: np.ndarray, region_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """Positions of S* suffixes (a smaller-than-next symbol after a greater-than-next one), sorted. Separators, symbol 0, are smaller than all and ordered by position; they come first."""
-    n = len(t)
-    diff = np.sign(t[1:].astype(np.int32) - t[:-1])
-    # a run of equal symbols has the type of what follows it; the last symbol is a separator, taken as S
-    small = np.empty(n, bool)
-    small[-1] = True
-    change = np.flatnonzero(diff)
-    nxt = np.searchsorted(change, np.arange(n - 1))
-    small[:-1] = np.where(nxt < len(change), diff[change[np.minimum(nxt, len(change) - 1)]] > 0, True) if len(change) else True
-    small[t == 0] = True
-    star = np.flatnonzero(small & np.r_[False, ~small[:-1]])
-    seps = np.flatnonzero(t == 0)
-    star = star[t[star] != 0]
-    if not len(star):
-        return seps
-    both = np.sort(np.concatenate([star, seps]))
-    end = both[np.searchsorted(both, star, "right")]  # the next S* or separator closes the substring
-    length = end - star + 1
-    # names: sort by 7 symbols at a time, ties by the next 7; past the end stands the greatest symbol, for a proper prefix is greater (its last symbol is S there, L here)
-    rank = np.zeros(len(star), np.int64)
-    open_ = np.arange(len(star))
-    done = 0
-    while len(open_):
-        key = np.zeros(len(open_), np.int64)
-        for j in range(7):
-            inside = done + j < length[open_]
-            key = key << 9 | np.where(inside, t[np.minimum(star[open_] + done + j, n - 1)], 511)
-        order = np.lexsort((key, rank[open_]))
-        r, k = rank[open_][order], key[order]
-        fresh = np.r_[True, (r[1:] != r[:-1])]
-        differs = np.r_[True, fresh[1:] | (k[1:] != k[:-1])]
-        # ranks are places of groups: the first place of a group plus how many stand before within it
-        base = r
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(r)), 0))
-        place = np.maximum.accumulate(np.where(differs, np.arange(len(r)), 0))
-        rank[open_[order]] = base + (place - first)
-        done += 7
-        size = np.bincount(np.cumsum(differs) - 1)[np.cumsum(differs) - 1]
-        more = (size > 1) & (length[open_[order]] > done)
-        open_ = open_[order][more]
-    # the recursion's string: names in text order, cut at region ends; ranks double until all differ or regions are over
-    region = region_of(star)
-    m, span = len(star), 1
-    per = int(np.bincount(region - region.min()).max())
-    while span < per:
-        nxt = np.full(m, -1, np.int64)
-        inside = np.flatnonzero(region[span:] == region[:-span]) if m > span else np.zeros(0, np.int64)
-        nxt[inside] = rank[inside + span]
-        pair = rank * (m + 1) + nxt + 1
-        order = np.argsort(pair, kind="stable")
-        p = pair[order]
-        fresh = np.r_[True, p[1:] != p[:-1]]
-        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(m), 0))
-        span *= 2
-        if fresh.all():
-            break
-    return np.concatenate([seps, star[np.argsort(rank, kind="stable")]])
-
-
-def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Equal symbols from a and b on, up to cap or a separator."""
-    out = np.zeros(len(a), np.int16)
-    left = np.arange(len(a))
-    n = len(t)
-    for k in range(cap):
-        x, y = t[np.minimum(a[left] + k, n - 1)], t[np.minimum(b[left] + k, n - 1)]
-        left = left[(x == y) & (x != 0)]
-        if not len(left):
-            break
-        out[left] = k + 1
-    return out
-
-
-def induced_order(t: np.ndarray, folder: str, region_of: Callable[[np.ndarray], np.ndarray], cap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of (positions, common prefix with the suffix given before) in falling suffix order; separators are left out. t: symbols 1..256, and 0 after each region and at the end."""
-    n, symbols = len(t), 257
-    seeds = sorted_stars(t, region_of)
-    first_symbol = t[seeds]
-    seed_prefix = np.zeros(len(seeds), np.int16)
-    seed_prefix[1:] = common_prefix(t, seeds[:-1], seeds[1:], cap)
-    bounds = np.searchsorted(first_symbol, np.arange(symbols + 1))
-    change = np.flatnonzero(t[1:] != t[:-1])
-
-    def run_length(p: int) -> int:
-        at = np.searchsorted(change, p)
-        return int(change[at] + 1 - p) if at < len(change) else n - p
-
-    def scan(queue: Queue, carried: Carried, pos: np.ndarray, prefix: np.ndarray, fits: Callable[[np.ndarray], np.ndarray]) -> None:
-        before = t[np.maximum(pos - 1, 0)]
-        at = np.flatnonzero((pos > 0) & fits(before))
-        d = before[at]
-        order, value = carried.induce(prefix, at, d)
-        queue.push(d[order], (pos[at][order] - 1).astype(np.int32), value)
-
-    # L pass, symbols rising: larger-than-next suffixes from those already in order
-    queue, carried = Queue(folder), Carried(symbols, cap)
-    larger: list[tuple[list, list]] = []
-    for c in range(symbols):
-        got: tuple[list, list] = ([], [])
-        while c:
-            pos, prefix = queue.take(c, False)
-            if not len(pos):
-                break
-            got[0].append(pos)
-            got[1].append(prefix)
-            scan(queue, carried, pos, prefix, lambda d, c=c: d >= c)
-        larger.append(tuple(queue._spill(np.concatenate(x)) if x and sum(map(len, x)) > queue.bound else np.concatenate(x) if x else np.zeros(0, np.int32) for x in got))
-        a, b = bounds[c], bounds[c + 1]
-        if b > a:
-            prefix = seed_prefix[a:b].copy()
-            prefix[0] = min(run_length(int(got[0][-1][-1])), run_length(int(seeds[a])), cap) if got[0] else 0
-            scan(queue, carried, seeds[a:b], prefix, lambda d, c=c: d > c)
-    # S pass, symbols falling
-    queue, carried = Queue(folder), Carried(symbols, cap)
-    for c in range(symbols - 1, 0, -1):
-        last = -1
-        while True:
-            pos, prefix = queue.take(c, True)
-            if not len(pos):
-                break
-            last = int(pos[-1])
-            yield pos, prefix
-            scan(queue, carried, pos, prefix, lambda d, c=c: (d <= c) & (d > 0))
-        pos, prefix = larger[c]
-        if len(pos):
-            back = np.asarray(pos)[::-1]
-            joint = np.r_[min(run_length(last), run_length(int(back[0])), cap) if last >= 0 else 0, np.asarray(prefix)[::-1][:-1]].astype(np.int16)
-            yield back, joint
-            scan(queue, carried, back, joint, lambda d, c=c: (d < c) & (d > 0))
-
-
-def repeats(texts: list[bytes], width: int, folder: str) -> np.ndarray:
-    """Start positions, in the texts joined with one symbol after each, of windows that also start earlier."""
-    lens = np.array([len(x) for x in texts], np.int64)
-    begins = np.cumsum(lens + 1) - lens - 1
-    raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8)
-    with tempfile.NamedTemporaryFile(dir=folder) as f:
-        sym = raw.astype(np.int16) + 1
-        sym[begins + lens] = 0
-        sym.tofile(f)
-        f.flush()
-        t = np.memmap(f.name, np.int16, "r") if len(sym) > 1 << 24 else sym
-        held_pos, held_tie = [], []
-        for pos, prefix in induced_order(t, folder, lambda p: np.searchsorted(begins, p, "right"), width):
-            held_pos.append(pos)
-            held_tie.append(prefix >= width)
-        if not held_pos:
-            return np.zeros(0, np.int64)
-        pos, tie = np.concatenate(held_pos), np.concatenate(held_tie)
-    part = tie | np.r_[tie[1:], False]
-    pos, tie = pos[part].astype(np.int64), tie[part]
-    if not len(pos):
-        return pos
-    heads = np.flatnonzero(~tie)
-    least = np.repeat(np.minimum.reduceat(pos, heads), np.diff(np.r_[heads, len(pos)]))
-    return np.sort(pos[pos != least])
-
-
-def _solve(width: int) -> Callable:
+        self.file.flush()
+        t = np.memmap(self.file, np.uint16, "r", shape=(self.n,))
+        begins, ids, keys, starts = self.places.mapped().reshape(-1, 4).T
+        mark = repeats(t, self.folder, width, bound)
+        for lo in range(0, self.n, bound):
+            at = np.flatnonzero(mark[lo : lo + bound]) + lo  # never a separator, so a run stays in its region
+            if len(at):
+                head = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+                of = np.searchsorted(begins, at[head], "right") - 1
+                yield ids[of], keys[of], starts[of] + at[head] - begins[of], np.diff(np.r_[head, len(at)])
+
+
+def _solve(width: int, bound: int) -> Callable:
     """All regions of a shard, sorted by (id, key, start), so that earlier in the joined text is earlier in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, rows = [], []
-        for batch in batches:
-            texts += [x.as_py() for x in batch.column(0)]
-            rows.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3)]))
-        if not texts:
-            return
-        places = np.concatenate(rows, axis=1)
-        once = np.r_[True, (places[:, 1:] != places[:, :-1]).any(axis=0)]  # rows that repeat id and text come once
-        texts = [x for x, fine in zip(texts, once.tolist(), strict=True) if fine]
-        ids, keys, starts = places[:, once]
         with tempfile.TemporaryDirectory(prefix="rill-suffix-") as folder:
-            found = repeats(texts, width, folder)
-        if not len(found):
-            return
-        lens = np.array([len(x) for x in texts], np.int64)
-        begins = np.cumsum(lens + 1) - lens - 1
-        of = np.searchsorted(begins, found, "right") - 1
-        offset = starts[of] + found - begins[of]
-        head = np.r_[True, (np.diff(found) != 1) | (of[1:] != of[:-1])]
-        a = np.flatnonzero(head)
-        count = np.diff(np.r_[a, len(found)])
-        zero = np.zeros(len(a), np.int64)
-        yield _batch(np.full(len(a), REPEAT, np.int8), zero, zero, ids[of[a]], keys[of[a]], offset[a].astype(np.int32), count.astype(np.int32))
+            shard = Shard(folder)
+            for batch in pieces(batches):
+                shard.add(batch)
+            for ids, keys, starts, windows in shard.repeats(width, bound):
+                zero = np.zeros(len(ids), np.int64)
+                yield _batch(np.full(len(ids), REPEAT, np.int8), zero, zero, ids, keys, starts, windows)
 
     return run
 
 
-def _cut(id_type: pa.DataType, id_col: str, width: int) -> Callable:
+def _cut(id_type: pa.DataType, id_col: str, width: int, with_kept: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
+        for batch in pieces(batches):
+            rows, texts = [], []
             for raw, runs in zip(batch.column(1), batch.column(2), strict=True):
                 b, removed, spans = raw.as_py() or b"", 0, 0
                 kept, at = [], 0
@@ -495,22 +270,29 @@ def _cut(id_type: pa.DataType, id_col: str, width: int) -> Callable:
                         removed += e - at
                         at = e
                 kept.append(b[at:])
-                rows.append((len(b), removed, spans, b"".join(kept)))
-            n, r, s, k = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in k], pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                left = b"".join(kept)
+                rows.append((len(b), removed, spans, hashlib.sha256(left).hexdigest()))
+                if with_kept:
+                    texts.append(left)
+            n, r, s, h = zip(*rows, strict=True)
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(h, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(texts, pa.binary())] * with_kept, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept)
 
     return run
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_bytes: int = 6_000_000) -> DataFrame:
-    """One row per input row: id_col, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256. id_col must be an integer column."""
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_bytes: int = 6_000_000, with_kept: bool = False, bound: int = 1 << 18) -> DataFrame:
+    """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256; with_kept adds kept (bytes). id_col must be an integer column.
+
+    bound: how many suffix tuples a task holds in memory, whatever its shard's size.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     least = -(1 << 63)
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"), F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.col(id_col).alias("__own"))
-    made = rows.select("raw", "id", "key").mapInArrow(_make_regions(width), ROW)
+    made = in_arrow(rows.select("raw", "id", "key"), _make_regions(width), ROW)
     dealt = made.repartition("owner").sortWithinPartitions("kind", "owner", "region", "id", "key", "start")
-    settled = table(dealt.mapInArrow(_settle, ROW), "suffix-settled")
+    settled = table(in_arrow(dealt, _settle, ROW), "suffix-settled")
     todo = settled.where(F.col("kind") == CANDIDATE)
     n, windows = todo.agg(F.count("*"), F.coalesce(F.sum("windows"), F.lit(0))).first()
     found = settled.where(F.col("kind") == REPEAT)
@@ -521,9 +303,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         cut = F.substring(F.col("raw"), F.col("start") + 1, F.col("windows") + width - 1)
         once = rows.select("raw", "id", "key").join(near, (F.col("id") == F.col("__i")) & (F.col("key") == F.col("__k"))).select(cut.alias("text"), "id", "key", "start", "owner")
         once = once.repartition(int(shards), "owner").sortWithinPartitions("id", "key", "start").select("text", "id", "key", "start")
-        solved = table(once.mapInArrow(_solve(width), ROW), "suffix-solved")
+        solved = table(in_arrow(once, _solve(width, bound), ROW), "suffix-solved")
         found = found.unionByName(solved)
     runs = found.groupBy(F.col("id").alias("__i"), F.col("key").alias("__k")).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     whole = rows.join(runs, (F.col("id") == F.col("__i")) & (F.col("key") == F.col("__k")), "left").select("__own", "raw", "runs")
     kind = df.select(id_col).schema[0].dataType
-    return whole.mapInArrow(_cut(to_arrow_type(kind), id_col, width), f"`{id_col}` {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return in_arrow(whole, _cut(to_arrow_type(kind), id_col, width, with_kept), f"`{id_col}` {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
