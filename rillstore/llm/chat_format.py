@@ -104,6 +104,12 @@ def read_back(formatted: Column, t: Template = Template()) -> Column:
     return F.transform(pieces, turn)
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
+def loss_text(turns: Column, t: Template = Template()) -> Column:
+    """All text under the loss mask, in order, of turns as read_back() gives them."""
+    trained = [k for k, (_, _, loss) in t.roles.items() if loss]
+    return F.array_join(F.transform(F.filter(turns, lambda s: s["role"].isin(*trained)), lambda s: s["text"]), "")
+
+
+def masked_text(segments: Column) -> Column:
+    """The same from the segments and their loss flags."""
     return unescape(F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: s["text"]), ""))

@@ -16,13 +16,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
-    chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], chats.schema)
-    out = chat_format.format_chats(chats.unionByName(more))
-    turns = chat_format.read_back(F.col("formatted"))
-    out = out.select("conv_id", "formatted", turns.alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"))
+    more = spark.sql(f"select * from values (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') as t(conv_id, turn, role, text)")
+    out = chat_format.format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+    out = out.select("*", chat_format.read_back(F.col("formatted")).alias("turns"))
+    out = out.select("*", chat_format.loss_text(F.col("turns")).alias("loss"))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(joined).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", F.col("bad_turn").cast("long").alias("bad_turn"), "end_state")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
 
 
 def vocabulary() -> str:
@@ -79,15 +79,21 @@ select n.doc_id, k.keep_id, g.group_size, n.doc_id = k.keep_id as kept, n.h as t
 from n join g on n.h = g.h join k on n.h = k.h
 """
 ORACLE_SQL["op2_chat_format"] = r"""
-with c as (select conv_id, turn, role, coalesce(text, '') as t from conversations
+with recursive c as (select conv_id, turn, role, coalesce(text, '') as t from conversations
   union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e as (select *, length(t) + 2 * len(regexp_extract_all(t, '<<SYS>>|<</SYS>>|<<ROLE>>|<<TEXT>>|<</ROLE>>|\[INST\]|\[/INST\]|</s>|<s>'))
-  + (length(t) - length(replace(t, chr(57344), ''))) + case role when 'system' then 17 when 'user' then 15 else 9 end as f from c)
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn)) as turns_sha256,
+e as (select *, row_number() over (partition by conv_id order by turn, role, t) - 1 as i, length(t) + 2 * len(regexp_extract_all(t, '<<SYS>>|<</SYS>>|<<ROLE>>|<<TEXT>>|<</ROLE>>|\[INST\]|\[/INST\]|</s>|<s>'))
+  + (length(t) - length(replace(t, chr(57344), ''))) + case role when 'system' then 17 when 'user' then 15 else 9 end as f from c),
+moves(state, role, next) as (values ('start', 'system', 'briefed'), ('start', 'user', 'asked'), ('briefed', 'user', 'asked'), ('asked', 'assistant', 'answered'), ('answered', 'user', 'asked')),
+m(conv_id, i, state, bad) as (select conv_id, cast(0 as bigint), 'start', cast(null as bigint) from (select distinct conv_id from c) union all
+  select m.conv_id, m.i + 1, coalesce(v.next, m.state), case when m.bad is null and v.next is null then m.i else m.bad end
+  from m join e on e.conv_id = m.conv_id and e.i = m.i left join moves v on v.state = m.state and v.role = e.role),
+z as (select conv_id, arg_max(state, i) as end_state, max(bad) as bad_turn from m group by 1),
+g as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by i)) as turns_sha256,
   cast(coalesce(sum(length(t)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(t, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(t, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(f) as bigint) as formatted_chars
-from e group by conv_id
+  from e group by conv_id)
+select g.*, bad_turn is null and end_state in ('answered', 'asked') as valid, bad_turn, end_state from g join z on g.conv_id = z.conv_id
 """
 ORACLE_SQL["op7_line_dedup"] = r"""
 with l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents),
