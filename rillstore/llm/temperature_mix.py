@@ -13,9 +13,15 @@ block where the budget ends.
 
 A token is a word, a run of characters that are not ASCII white space. Hashes are of md5, the same in any engine.
 
-Cases: null text has no tokens and comes along with its block. A null source is a source. Null ids and repeated rows are
-rows like any other. A source without tokens gets no budget. Extra columns are returned as they are. An empty table gives
-an empty one.
+All of it is one way for any number of sources: the exponent comes from aggregates over the table of sources, each for 63
+exponents at once, and largest remainders from range-sorted parts and their counts. What reaches the driver is one row
+for each exponent and each part. One (source, pass) has its blocks ordered by one task: a row for a million tokens.
+
+Cases: null text has no tokens and comes along with its block. A null source is a source. A row with a null id is dealt
+by its text's hash; null ids and repeated rows are rows like any other. Of equal hashes in the last block, ties go by id
+and then by text. A source without tokens gets no budget. Very long texts are one document. Extra columns are returned as
+they are, whatever their names; only one that has the name of a result column gives way to it. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -26,11 +32,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 TOKEN = r"[^\x20\x09-\x0D]+"
-#: Source tables up to this many rows are bisected on the driver, larger ones by an aggregate for each step.
-DRIVER_SOURCES = 100_000
+#: A table of sources is broadcast to the documents up to this many rows, by count; beyond, it is joined.
+BROADCAST_SOURCES = 100_000
+#: Exponents tried at once: each step narrows the interval to one in as many and one parts; ten steps make 2 ** -60.
+AT_ONCE, STEPS = 63, 10
 
 
 def tokens(text: Column) -> Column:
@@ -43,76 +51,66 @@ def hash60(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def bisect(f: Callable[[float], float], goal: float, low: float, high: float, steps: int = 60) -> float:
-    """Where the falling function f meets goal."""
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (mid, high) if f(mid) > goal else (low, mid)
+def bisect(f: Callable[[list[float]], list[float]], goal: float, low: float, high: float) -> float:
+    """Where the falling function f meets goal. f takes a list of places at once."""
+    for _ in range(STEPS):
+        at = [low + (high - low) * k / (AT_ONCE + 1) for k in range(AT_ONCE + 2)]
+        above = sum(y > goal for y in f(at[1:-1]))
+        low, high = at[above], at[above + 1]
     return (low + high) / 2
 
 
-def exponent(counts: list[int], entropy_part: float, max_repeat: float | None, budget: int) -> float:
-    """counts: each source's tokens, none zero."""
-    total = sum(counts)
-    shares = [n / total for n in sorted(counts)]
+def exponent(per: DataFrame, k: int, total: int, entropy_part: float, max_repeat: float | None, budget: int) -> float:
+    """per: n, the tokens of each of k sources, none zero."""
+    if k < 2:
+        return 1.0
+    p = F.col("n") / F.lit(float(total))
 
-    def weights(a: float) -> list[float]:
-        w = [p**a for p in shares]
-        s = math.fsum(w)
-        return [x / s for x in w]
+    def sums(at: list[float]) -> list:
+        """By exponent: the sum of p ** a, of that times ln p, and the most tokens wanted for one there are."""
+        tried = per.select("n", F.explode(F.array(*(F.lit(a) for a in at))).alias("a"))
+        w = F.pow(p, F.col("a"))
+        got = {r.a: r for r in tried.groupBy("a").agg(F.sum(w).alias("z"), F.sum(w * F.log(p)).alias("e"), F.max(w / F.col("n")).alias("m")).collect()}
+        return [got[a] for a in at]
 
-    if len(counts) < 2:
-        return 1.0
-    entropy = lambda a: -math.fsum(x * math.log(x) for x in weights(a) if x > 0)
-    a = bisect(entropy, entropy_part * math.log(len(counts)), 0.0, 1.0)
-    repeats = lambda a: max(x * budget / (p * total) for x, p in zip(weights(a), shares, strict=True))
-    if max_repeat and repeats(a) > max_repeat and budget <= max_repeat * total:
+    entropy = lambda at: [math.log(r.z) - r.a * r.e / r.z for r in sums(at)]
+    repeats = lambda at: [r.m / r.z * budget for r in sums(at)]
+    a = bisect(entropy, entropy_part * math.log(k), 0.0, 1.0)
+    if max_repeat and repeats([a])[0] > max_repeat and budget <= max_repeat * total:
         a = bisect(repeats, max_repeat, min(a, 1.0), 1.0)
     return a
 
 
-def budgets(sources: dict, a: float, budget: int) -> dict:
-    """Tokens for each source; what rounding leaves goes to the largest remainders, ties by name."""
-    total = sum(sources.values())
-    raw = {s: (n / total) ** a for s, n in sources.items() if n}
-    z = math.fsum(sorted(raw.values()))
-    exact = {s: w / z * budget for s, w in raw.items()}
-    out = {s: math.floor(x) for s, x in exact.items()}
-    rest = budget - sum(out.values())
-    for s in sorted(out, key=lambda s: (out[s] - exact[s], s is None, s or ""))[: max(0, rest)]:
-        out[s] += 1
-    return out
-
-
-def plan(rows: DataFrame, entropy_part: float, max_repeat: float | None, budget: int | None, block_tokens: int, seed: int) -> DataFrame:
+def budgets(per: DataFrame, a: float, total: int, budget: int) -> DataFrame:
+    """per with budget: tokens for each source; what rounding leaves goes to the largest remainders, ties by name."""
+    power = F.pow(F.col("n") / F.lit(float(total)), F.lit(a))
+    z = per.agg(F.sum(power)).first()[0]
+    floored = per.withColumn("x", power / F.lit(z) * F.lit(float(budget))).withColumn("f", F.floor("x").cast("long"))
+    rest = budget - floored.agg(F.sum("f")).first()[0]
+    mid = F.monotonically_increasing_id()  # the part in the upper bits, the place in it in the lower 33
+    order = [F.expr("f - x"), F.col("__s").asc_nulls_last()]
+    placed = table(floored.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftrightunsigned(mid, 33).alias("part"), mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")), "mix-remainders")
+    # in how many places of a part a token is added: all of the first parts, some of one, none of the others
+    starts, left = [], max(0, rest)
+    for part, n in sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        starts.append((part, min(n, left)))
+        left -= min(n, left)
+    more = per.sparkSession.createDataFrame(starts, "part long, upto long")
+    return placed.join(more, "part").select("__s", "n", (F.col("f") + F.when(F.col("place") < F.col("upto"), 1).otherwise(0)).alias("budget"))
+
+
+def plan(rows: DataFrame, entropy_part: float, max_repeat: float | None, budget: int | None, block_tokens: int) -> DataFrame:
     """rows: __s, __n. (__s, n, budget, blocks) for each source with tokens."""
-    spark = rows.sparkSession
     per = table(rows.groupBy("__s").agg(F.sum("__n").alias("n")).where("n > 0"), "mix-sources")
     k, total = per.agg(F.count("*"), F.sum("n")).first()
-    schema = "__s string, n long, budget long, blocks long"
     if not k:
-        return spark.createDataFrame([], schema)
+        return rows.sparkSession.createDataFrame([], "__s string, n long, budget long, blocks long")
     budget = int(total) if budget is None else budget
-    if k <= DRIVER_SOURCES:
-        counts = {r["__s"]: r["n"] for r in per.collect()}
-        got = budgets(counts, exponent(list(counts.values()), entropy_part, max_repeat, budget), budget)
-        return spark.createDataFrame([(s, n, got[s], max(1, -(-n // block_tokens))) for s, n in counts.items()], schema)
-    p = F.col("n") / F.lit(float(total))
-
-    def entropy(a: float) -> float:
-        z, e = per.agg(F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.log(p))).first()
-        return math.log(z) - a * e / z
+    got = budgets(per, exponent(per, k, total, entropy_part, max_repeat, budget), total, budget)
+    return got.select("__s", "n", "budget", F.greatest(F.lit(1), F.ceil(F.col("n") / block_tokens)).cast("long").alias("blocks"))
 
-    def repeats(a: float) -> float:
-        z, m = per.agg(F.sum(F.pow(p, F.lit(a))), F.max(F.pow(p, F.lit(a)) / F.col("n"))).first()
-        return m / z * budget
 
-    a = bisect(entropy, entropy_part * math.log(k), 0.0, 1.0)
-    if max_repeat and repeats(a) > max_repeat and budget <= max_repeat * total:
-        a = bisect(repeats, max_repeat, min(a, 1.0), 1.0)
-    z = per.agg(F.sum(F.pow(p, F.lit(a)))).first()[0]
-    share = F.floor(F.pow(p, F.lit(a)) / F.lit(z) * budget)
-    return per.select("__s", "n", share.alias("budget"), F.greatest(F.lit(1), F.ceil(F.col("n") / block_tokens)).alias("blocks"))
+RESULT = {"n_tokens": "__n_tokens", "pass": "__pass", "block": "__block", "rank": "__rank"}
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy_part: float = 0.95, max_repeat: float | None = 4.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17) -> DataFrame:
@@ -120,32 +118,39 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
 
     budget: tokens in all; the table's own number if not given. The order of training is (__pass, __rank, hash of the id) in each source.
     """
-    s, i = F.col(source_col).cast("string"), F.col(id_col)
-    sized = df.select("*", tokens(F.col(text_col)).alias("__n_tokens"))
-    narrow = table(sized.select(s.alias("__s"), F.col("__n_tokens").alias("__n"), hash60(F.lit(seed), F.lit("block"), i).alias("__h")), "mix-rows")
-    per = table(plan(narrow, entropy_part, max_repeat, budget, block_tokens, seed), "mix-plan")
-    same = lambda a, b: a.eqNullSafe(b)
+    out = mixture(df, id_col, source_col, text_col, entropy_part, max_repeat, budget, block_tokens, seed)
+    old = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in RESULT.values()]
+    return out.select(*old, *(F.col(k).alias(v) for k, v in RESULT.items()))
+
+
+def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", entropy_part: float = 0.95, max_repeat: float | None = 4.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17) -> DataFrame:
+    """(row, n_tokens, pass, block, rank), row being all columns of df in one."""
+    s, i, t = (F.col(f"`{c}`") for c in (source_col, id_col, text_col))
+    # what a row is dealt by: its id, and its text where it has none
+    own = F.coalesce(i.cast("string"), F.concat(F.lit("\\N:"), F.md5(F.coalesce(t, F.lit("")).cast("binary"))))
+    at = hash60(F.lit(seed), F.lit("block"), own)
+    narrow = table(df.select(s.cast("string").alias("__s"), tokens(t).alias("__n"), at.alias("__h")), "mix-rows")
+    per = table(plan(narrow, entropy_part, max_repeat, budget, block_tokens), "mix-plan")
     p = per.withColumnRenamed("__s", "__ps")
-    blocks = narrow.join(p, same(F.col("__s"), F.col("__ps"))).groupBy("__ps", (F.col("__h") % F.col("blocks")).alias("__b")).agg(F.sum("__n").alias("bn"), F.first("n").alias("n"), F.first("budget").alias("budget"))
-    passes = blocks.withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("budget") / F.col("n")))))
+    blocks = narrow.join(p, F.col("__s").eqNullSafe(F.col("__ps"))).groupBy("__ps", (F.col("__h") % F.col("blocks")).alias("__b")).agg(F.sum("__n").alias("bn"), F.first("n").alias("n"), F.first("budget").alias("budget"))
     # an exact quotient: floating division is exact enough only below 2 ** 53, so the rest is taken by the integer remainder
+    times, rest = F.expr("budget div n"), F.col("budget") % F.col("n")
+    passes = blocks.withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), times)))
     order = Window.partitionBy("__ps", "__pass").orderBy(hash60(F.lit(seed), F.lit("pass"), F.col("__pass"), F.col("__ps"), F.col("__b")), "__b")
     ranked = passes.withColumns({"__rank": F.row_number().over(order).cast("long"), "cum": F.sum("bn").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    full = F.col("__pass") < F.floor(F.col("budget") / F.col("n"))
-    rest = F.col("budget") % F.col("n")
-    before = F.col("cum") - F.col("bn")
+    full, before = F.col("__pass") < times, F.col("cum") - F.col("bn")
     taken = ranked.where(full | (before < rest)).withColumn("need", F.when(~full & (F.col("cum") > rest), rest - before))
     taken = table(taken.select("__ps", "__b", "__pass", "__rank", "need"), "mix-taken")
-    blocked = sized.join(F.broadcast(p.select("__ps", "blocks")) if _small(per) else p.select("__ps", "blocks"), same(s, F.col("__ps"))).withColumn("__block", hash60(F.lit(seed), F.lit("block"), i) % F.col("blocks")).drop("blocks").withColumnRenamed("__ps", "__src")
-    got = blocked.join(taken, same(F.col("__src"), F.col("__ps")) & (F.col("__block") == F.col("__b")))
-    keep = [F.col(f"`{c}`") for c in df.columns] + [F.col(c) for c in ("__n_tokens", "__pass", "__block", "__rank")]
+    drop(narrow)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    sized = df.select(row.alias("row"), s.cast("string").alias("__s"), tokens(t).alias("n_tokens"), at.alias("__h"), hash60(F.lit(seed), F.lit("doc"), own).alias("__d"), i.alias("__i"), F.xxhash64(t).alias("__t"))
+    few = per.count() <= BROADCAST_SOURCES
+    sources = p.select("__ps", "blocks")
+    blocked = sized.join(F.broadcast(sources) if few else sources, F.col("__s").eqNullSafe(F.col("__ps"))).withColumn("block", F.col("__h") % F.col("blocks")).drop("blocks").withColumnRenamed("__ps", "__src")
+    got = blocked.join(taken, F.col("__src").eqNullSafe(F.col("__ps")) & (F.col("block") == F.col("__b")))
+    keep = ["row", "n_tokens", F.col("__pass").alias("pass"), "block", F.col("__rank").alias("rank")]
     whole = got.where("need is null").select(*keep)
     # the one block of a source in which its budget ends: documents by hash while they fit
-    ends = Window.partitionBy("__src", "__block", "__pass").orderBy(hash60(F.lit(seed), F.lit("doc"), i), i).rowsBetween(Window.unboundedPreceding, 0)
-    cut = got.where("need is not null").withColumn("__sum", F.sum("__n_tokens").over(ends)).where(F.col("__sum") <= F.col("need")).select(*keep)
+    ends = Window.partitionBy("__src", "block", "__pass").orderBy("__d", "__i", "__t").rowsBetween(Window.unboundedPreceding, 0)
+    cut = got.where("need is not null").withColumn("__sum", F.sum("n_tokens").over(ends)).where(F.col("__sum") <= F.col("need")).select(*keep)
     return whole.unionByName(cut)
-
-
-def _small(per: DataFrame) -> bool:
-    """A broadcast only of a table that was counted: at most DRIVER_SOURCES rows."""
-    return per.count() <= DRIVER_SOURCES
