@@ -1,31 +1,30 @@
 """SimHash near-dedup with vantage-point trees.
 
-Fingerprints are points of a metric space, Hamming distance. Two things cut it up:
+Fingerprints are points of a metric space, Hamming distance. Two levels of vantage points cut it up:
 
 1. Shards. A set of bits S gives a sub-metric d_S <= d. With radius + 1 disjoint sets, a pair within the radius has
-   d_S = 0 for one of them at least, so a zero-radius search in each sub-metric loses no pair: a shard is the set of
-   fingerprints at distance 0 from each other there. A shard that is still too large is divided again by the same rule
-   over its remaining bits, until none is; each such level keeps every pair.
+   d_S = 0 for one of them at least. In each sub-metric, fixed vantage points halve the space again and again: a shard is
+   a leaf of that tree, the fingerprints on the same side of every vantage point. As points at distance 0 are on the same
+   side of all, no shard overlaps a boundary, and no pair is lost. There are as many halvings as bring shards to about
+   `shard` points. A shard that is too large even so (near copies crowd) is cut by the values themselves, which a pair
+   shares there, and then over the remaining bits by the same rule, until none is: after six cuts at most 2 ** 12 points
+   can differ.
 2. A vantage-point tree in each shard, with the full distance: distances to a vantage point, a median radius, an inner
    and an outer half; a branch is left out when the triangle bound |d(x, v) - d(y, v)| <= d(x, y) excludes it, and what
    lies within the radius of the boundary is queried against the other half. Pairs found are exact.
 
-A plain tree over all 64 bits would visit both halves for most points: distances of unrelated fingerprints crowd around
-32. The sub-metrics do not crowd, which is why the shards come first.
+A plain tree over all fingerprints would visit both halves for most points: distances of unrelated fingerprints crowd
+around 32. In sub-metrics the bound excludes all but one side, which is why the shards come first; README has counts.
 
 Equal fingerprints are one class from the start. In a shard, pairs become a forest (at most one link per fingerprint),
 so a large group of near copies never becomes a list of all its pairs. Links of all shards meet in components(), in
 tables on the shared folder.
 
-similar() finds the groups of a shingle-set similarity instead. Candidates are the fingerprint links and pairs with a
-common shingle among the first of both sets in the order of the hashes (prefix filter: sets that reach the threshold share
-one there, so no pair is missed); a pair counts only if the sets themselves reach the threshold. Pairs that verified links
-join already are not listed again, so a large group of near copies does not become all its pairs. Shingles and sets count
-as equal if their 64-bit hashes are.
-
 Cases: null text counts as empty, and has the fingerprint 0 like any text without words. Null and repeated ids pass
-through; a component's id is its smallest id that is not null. Extra columns are ignored. An empty table gives an empty
-one.
+through, a row for each input row; a component's id is its smallest id that is not null. keep_one() decides row by row:
+of a component the rows that have its id stay, or, where no row has an id, those of the smallest text hash; of these,
+rows that repeat one another in id and text all stay or go together. Very long texts are hashed in parts. Extra columns
+are ignored, and returned as they are by keep_one(), whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,10 +35,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, table
+from .common import components, in_arrow, pieces, table
 
 BITS = 64
 
@@ -78,12 +77,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(__id, __fp) for each row; __fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fps = np.array([fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["__id", "__fp"])
 
     slim = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("__raw"))
-    return slim.mapInArrow(run, f"__id {slim.schema[0].dataType.simpleString()}, __fp long")
+    return in_arrow(slim, run, f"__id {slim.schema[0].dataType.simpleString()}, __fp long")
 
 
 class Forest:
@@ -109,10 +108,11 @@ class Forest:
         self.label = root[self.label]
 
 
-LEAF = 256
+LEAF = 64
 
 
-def _brute(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest, same: bool) -> None:
+def _brute(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest) -> int:
+    """Link pairs of a and b one by one; how many were compared."""
     for lo in range(0, len(a), 512):
         part = a[lo : lo + 512]
         for to in range(0, len(b), 4096):
@@ -120,16 +120,18 @@ def _brute(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: For
             i, j = np.nonzero(np.bitwise_count(x[part][:, None] ^ x[other][None, :]) <= radius)
             if len(i):
                 forest.link(part[i], other[j])
+    return len(a) * len(b)
 
 
-def vantage_join(x: np.ndarray, radius: int, forest: Forest) -> None:
-    """Link all pairs of x within the radius: a tree over x joined with itself."""
-    todo = [(np.arange(len(x)), None)]
+def vantage_join(x: np.ndarray, radius: int, forest: Forest) -> tuple[int, int]:
+    """Link all pairs of x within the radius: a tree over x joined with itself. Nodes visited, and pairs compared in leaves."""
+    todo, nodes, compared = [(np.arange(len(x)), None)], 0, 0
     while todo:
         a, b = todo.pop()
         if b is None:
+            nodes += 1
             if len(a) <= LEAF:
-                _brute(x, a, a, radius, forest, True)
+                compared += _brute(x, a, a, radius, forest)
                 continue
             d = np.bitwise_count(x[a] ^ x[a[len(a) // 2]]).astype(np.int16)
             mu = int(np.median(d))
@@ -137,13 +139,14 @@ def vantage_join(x: np.ndarray, radius: int, forest: Forest) -> None:
             if near.all():
                 near = d < mu
             if near.all() or not near.any():
-                _brute(x, a, a, radius, forest, True)
+                compared += _brute(x, a, a, radius, forest)
                 continue
             edge = d[near].max()
             todo += [(a[near], None), (a[~near], None), (a[near & (d >= edge + 1 - radius)], a[~near & (d <= edge + radius)])]
         elif len(a) and len(b):
+            nodes += 1
             if len(a) * len(b) <= LEAF * LEAF * 4:
-                _brute(x, a, b, radius, forest, False)
+                compared += _brute(x, a, b, radius, forest)
                 continue
             v = x[a[len(a) // 2]]
             da, db = np.bitwise_count(x[a] ^ v).astype(np.int16), np.bitwise_count(x[b] ^ v).astype(np.int16)
@@ -151,50 +154,36 @@ def vantage_join(x: np.ndarray, radius: int, forest: Forest) -> None:
             near = da <= mu
             halves = [(a[near], b[db <= mu + radius]), (a[~near], b[db > mu - radius])]
             if sum(len(p) * len(q) for p, q in halves) > 0.9 * len(a) * len(b):
-                _brute(x, a, b, radius, forest, False)  # the bound excludes too little here
+                compared += _brute(x, a, b, radius, forest)  # the bound excludes too little here
             else:
                 todo += halves
+    return nodes, compared
 
 
 def _shard_links(radius: int):
-    """Links of each shard from rows sorted by (choice, value): whole shards of a batch at a time."""
+    """Links of each shard from rows sorted by (choice, value): whole shards of a batch at a time, a tree each."""
 
     def solve(choice: np.ndarray, value: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(fp):
             return
         new = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (value[1:] != value[:-1])])
-        sizes = np.diff(np.r_[new, len(fp)])
-        group = np.repeat(np.arange(len(new)), sizes)
-        forest = Forest(len(fp))
-        small = np.flatnonzero((sizes[group] <= 48) & (sizes[group] > 1))
-        for k in range(1, 48):  # a leaf each: all pairs of a small shard, by how far apart they stand
-            if len(small) <= k:
-                break
-            i, j = small[:-k], small[k:]
-            ok = group[i] == group[j]
-            if not ok.any():
-                break
-            i, j = i[ok], j[ok]
-            hit = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-            forest.link(i[hit], j[hit])
-        got = forest.label
-        moved = np.flatnonzero(got != np.arange(len(fp)))
-        yield fp[moved], fp[got[moved]]
-        for g in np.flatnonzero(sizes > 48):
-            x = fp[new[g] : new[g] + sizes[g]]
-            own = Forest(len(x))
-            vantage_join(x, radius, own)
-            moved = np.flatnonzero(own.label != np.arange(len(x)))
-            yield x[moved], x[own.label[moved]]
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(fp)], strict=True):
+            if hi - lo > 1:
+                x = fp[lo:hi]
+                own = Forest(len(x))
+                vantage_join(x, radius, own)
+                moved = np.flatnonzero(own.label != np.arange(len(x)))
+                yield x[moved], x[own.label[moved]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3
         cols = lambda b: [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
 
         def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for a, b in solve(parts[0], parts[1], parts[2].view(np.uint64)):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            got = [z for z in solve(parts[0], parts[1], parts[2].view(np.uint64)) if len(z[0])]
+            if got:
+                a, b = (np.concatenate(z).view(np.int64) for z in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -221,43 +210,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(classes: DataFrame, radius: int = 3, max_shard: int = 20_000, max_levels: int = 4) -> DataFrame:
+def _vantage(k: int) -> int:
+    """The k-th vantage point: 64 fixed bits."""
+    return xxhash.xxh64_intdigest(b"vantage", k)
+
+
+def cell(fp: Column, mask: int, halvings: int) -> Column:
+    """The leaf of a fingerprint in the tree of fixed vantage points in the sub-metric of the mask's bits: a bit for each, on which side it lies."""
+    radius = mask.bit_count() // 2
+    out = F.lit(0).cast("long")
+    for k in range(halvings):
+        d = F.bit_count(fp.bitwiseXOR(F.lit(_signed(_vantage(k)))).bitwiseAND(F.lit(_signed(mask))))
+        out = out + F.when(d <= radius, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out
+
+
+def links(classes: DataFrame, radius: int = 3, shard: int = 1024, max_shard: int = 20_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints __fp whose components are those of all pairs within the radius."""
     full = (1 << BITS) - 1
-    used = {0: 0}  # choice -> bits already agreed on
-
-    def divided(rows: DataFrame, choices: list[int], level: int) -> DataFrame:
-        children = []
+    used = {k + 1: m for k, m in enumerate(_blocks(full, radius + 1))}  # choice -> bits on which its pairs agree
+    halvings = max(0, min(BITS // (radius + 1), (classes.count() // shard).bit_length()))
+    fp = F.col("__fp")
+    first = F.array(*(F.struct(F.lit(c).cast("long").alias("c"), cell(fp, m, halvings).alias("v")) for c, m in used.items()))
+    rows = classes.select(F.explode(first).alias("x"), "__fp").select(F.col("x.c").alias("choice"), F.col("x.v").alias("value"), "__fp")
+    ready = None
+    while True:
+        rows = table(rows, "vp-rows")
+        big = table(rows.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > max_shard).select("choice", "value"), "vp-big")
+        choices = [r.choice for r in big.select("choice").distinct().collect()]  # bounded by the radius and the number of cuts
+        done = rows if not choices else rows.join(big, ["choice", "value"], "left_anti")
+        ready = done if ready is None else ready.unionByName(done)
+        if not choices:
+            break
+        children = {}
         for c in choices:
             for k, m in enumerate(_blocks(full & ~used[c], radius + 1)):
                 child = c * (radius + 2) + k + 1
                 used[child] = used[c] | m
-                children.append((c, child, used[child]))
-        cases = F.create_map(*(x for c in choices for x in (F.lit(c), F.array(*(F.struct(F.lit(n).cast("long").alias("c"), F.lit(_signed(m)).cast("long").alias("m")) for p, n, m in children if p == c)))))
-        made = rows.select("__fp", F.explode(F.element_at(cases, F.col("choice").cast("int"))).alias("x"))
-        return made.select(F.col("x.c").alias("choice"), F.col("__fp").bitwiseAND(F.col("x.m")).alias("value"), "__fp")
-
-    rows = divided(classes.select("__fp", F.lit(0).cast("long").alias("choice")), [0], 0)
-    ready = None
-    for level in range(1, max_levels + 1):
-        big = table(rows.groupBy("choice", "value").agg(F.count("*").alias("n")).where(F.col("n") > max_shard).select("choice", "value"), "vp-big")
-        choices = [r.choice for r in big.select("choice").distinct().collect()]  # at most (radius + 1) ** level
-        if not choices or level == max_levels:
-            break
-        rows = table(rows, "vp-rows")
-        done = rows.join(big, ["choice", "value"], "left_anti")
-        ready = done if ready is None else ready.unionByName(done)
-        rows = divided(rows.join(big, ["choice", "value"], "left_semi"), choices, level)
-    ready = rows if ready is None else ready.unionByName(rows)
+                children.setdefault(c, []).append((child, used[child]))
+        cases = F.create_map(*(x for c, own in children.items() for x in (F.lit(c).cast("long"), F.array(*(F.struct(F.lit(n).cast("long").alias("c"), F.lit(_signed(m)).cast("long").alias("m")) for n, m in own)))))
+        made = rows.join(big, ["choice", "value"], "left_semi").select("__fp", F.explode(F.element_at(cases, F.col("choice"))).alias("x"))
+        rows = made.select(F.col("x.c").alias("choice"), fp.bitwiseAND(F.col("x.m")).alias("value"), "__fp").distinct()
     dealt = ready.select("choice", "value", "__fp").repartition("choice", "value").sortWithinPartitions("choice", "value")
-    return dealt.mapInArrow(_shard_links(radius), "a long, b long")
+    return in_arrow(dealt, _shard_links(radius), "a long, b long")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, max_shard: int = 20_000) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard: int = 1024, max_shard: int = 20_000) -> DataFrame:
     """One row per input row: id_col, fingerprint (signed long), component_id."""
     fps = table(fingerprints(df, id_col, text_col, shingle), "simhash")
     classes = table(fps.groupBy("__fp").agg(F.min("__id").alias("first")), "simhash-classes")
-    comp = components(links(classes, radius, max_shard), "simhash-cc")
+    comp = components(links(classes, radius, shard, max_shard), "simhash-cc")
     named = classes.join(comp, classes["__fp"] == comp["node"], "left").select("__fp", "first", F.coalesce("root", "__fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(least, "root").select("__fp", "component_id")
@@ -265,118 +267,22 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of df whose id is their component's; of a group one id stays. Rows without an id stay only if their whole component has none."""
-    return _first_of_each(df, near_dedup(df, id_col, text_col, shingle, radius), id_col)
-
-
-def _first_of_each(df: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """The rows of df but those whose id is nowhere its component's, which are the fewer."""
-    own = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = table(found.groupBy(F.col(id_col).alias("__gone")).agg(own.alias("own")).where("not own").select("__gone"), "near-gone")
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-
-
-def _least(n, percent: int):
-    """What sets of n elements have in common at least with a similar set; with Column or int."""
-    return -(-n * percent // 100) if isinstance(n, int) else F.floor((n * percent + 99) / 100)
-
-
-#: Places beyond the prefix, one to so many elements: a set with a partner shares as many of them more.
-SPARE = 20
-
-
-def shingle_prefixes(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """(__id, t, __fp, key, n, pre) for each row: hash of the text, fingerprint, 64-bit hash and size of the shingle set, and its first hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, keys, ns, pres = [], [], [], []
-            for x in batch.column(2):
-                parts = list(shingle_hashes(x.as_py() or b"", shingle))
-                every = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]))
-                n = len(every)
-                fps.append(majority(parts))
-                keys.append(xxhash.xxh3_64_intdigest(every.tobytes()))
-                ns.append(n)
-                pres.append(every[: n - _least(n, percent) + 1 + n // SPARE].view(np.int64))
-            long = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), long(fps), long(keys), pa.array(ns, pa.int64()), pa.array(pres, pa.list_(pa.int64()))], names=["__id", "t", "__fp", "key", "n", "pre"])
-
-    slim = df.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("binary").alias("__raw"))
-    return slim.mapInArrow(run, f"__id {slim.schema[0].dataType.simpleString()}, t long, __fp long, key long, n long, pre array<long>")
-
-
-def shingle_sets(df: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(key, hs) for each row: as in shingle_prefixes(), and all of the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(x.as_py() or b"", shingle)])) for x in batch.column(0).slice(lo, 256)]
-                keys = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["key", "hs"])
-
-    return df.select(F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, "key long, hs array<long>")
-
-
-def _reach(x: str, y: str, percent: int) -> Column:
-    """Sets of x and y elements can have that Jaccard similarity."""
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) of keys whose sets have a Jaccard similarity of at least percent / 100."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("na")), "a").join(sets.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b").where(_reach("na", "nb", percent))
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("hs").alias(f"s{c}"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
-
-
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int = 3) -> DataFrame:
-    """One row per input row: id_col, component_id under links between shingle sets of Jaccard similarity percent / 100 or more.
-
-    The radius is only how far apart the fingerprints are that are tried first; the result does not depend on it.
-    """
-    rows = table(shingle_prefixes(df, id_col, text_col, shingle, percent), "similar-rows")
-    classes = table(rows.groupBy("key").agg(F.min("__id").alias("first"), F.min("__fp").alias("__fp"), F.first("n").alias("n")), "similar-classes")
-    # prefix hashes of two sets or more, of sets that share enough of them: of l + 1 common elements of a similar pair in
-    # order, both prefixes hold as many as the smaller l allows, and the smaller set has at least _least(n)
-    own = Window.partitionBy("s")
-    each = rows.select(F.explode("pre").alias("s"), "key").select("s", "key", F.min("key").over(own).alias("lo"), F.max("key").over(own).alias("hi"))
-    shared = table(each.where("lo < hi").select("s", "key").distinct(), "similar-shared")
-    able = shared.groupBy("key").agg(F.count("*").alias("k")).join(classes.select("key", "n", "__fp"), "key").where(F.col("k") >= 1 + F.floor(_least(F.col("n"), percent) / SPARE)).select("key", "n", "__fp")
-    able = table(able, "similar-able")
-    pre = table(shared.join(able.select("key", "n"), "key"), "similar-prefixes")
-    drop(shared)
-    texts = rows.join(able.select("key"), "key", "left_semi").groupBy("key").agg(F.min("t").alias("__t")).select("__t")
-    some = df.select(text_col).where(F.length(text_col) > 0).join(texts, F.xxhash64(text_col) == F.col("__t"), "left_semi")
-    sets = shingle_sets(some, text_col, shingle).groupBy("key").agg(F.first("hs").alias("hs"))
-    sets = table(sets.withColumn("n", F.size("hs").cast("long")), "similar-sets")
-    # first, a number of pairs in proportion: fingerprint links, and each prefix hash's sets with two of them
-    faces = able.groupBy("__fp").agg(F.min("key").alias("face"))
-    near = links(faces.select("__fp"), radius)
-    near = near.join(faces.select(F.col("__fp").alias("a"), F.col("face").alias("x")), "a").join(faces.select(F.col("__fp").alias("b"), F.col("face").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = able.join(faces, "__fp").select(F.col("key").alias("a"), F.col("face").alias("b"))
-    star = pre.join(pre.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "s")
-    star = star.select(F.col("key").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
-    sure = table(verified(near.unionByName(same).unionByName(star), sets, percent), "similar-sure")
-    comp = components(sure, "similar-cc")
-    # then every pair of a prefix hash that those leave apart
-    named = table(pre.join(comp, pre["key"] == comp["node"], "left").select("s", "key", "n", F.coalesce("root", "key").alias("root")), "similar-named")
-    mixed = named.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("s")
-    rest = named.join(mixed, "s", "left_semi")
-    other = rest.select("s", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "root")))
-    pairs = rest.join(other, "s").where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _reach("n", "n_b", percent))
-    enough = F.count("*") >= 1 + F.floor(F.least(F.min("n"), F.min("n_b")) / SPARE)  # a row for each common hash of the prefixes
-    likely = pairs.groupBy(F.col("key").alias("a"), F.col("key_b").alias("b")).agg(enough.alias("enough")).where("enough")
-    every = sure.unionByName(verified(likely.select("a", "b"), sets, percent))
-    comp = components(every, "similar-cc")
-    of = classes.join(comp, classes["key"] == comp["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(of.join(least, "root").select("key", "component_id"), "key").select(F.col("__id").alias(id_col), "component_id")
-
-
-def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, radius: int = 3) -> DataFrame:
-    """keep_one() over the groups of similar()."""
-    return _first_of_each(df, similar(df, id_col, text_col, shingle, percent, radius), id_col)
+    """The rows of df that stay: of a component those with its id."""
+    slim = df.select(F.struct(F.col(f"`{id_col}`").alias("i"), F.xxhash64(text_col).alias("t")).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    fps = table(fingerprints(slim, "__row", "__text", shingle), "simhash")
+    classes = table(fps.groupBy("__fp").agg(F.count("*").alias("n")), "simhash-classes")
+    comp = components(links(classes, radius), "simhash-cc")
+    named = classes.join(comp, classes["__fp"] == comp["node"], "left").select("__fp", F.coalesce("root", "__fp").alias("root"))
+    return one_of_each(df, fps.join(named, "__fp").select(F.col("__id.i").alias("i"), F.col("__id.t").alias("t"), "root"), id_col, text_col)
+
+
+def one_of_each(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df without those of found(i, t, root: id, hash of the text, group) that are not their group's first, by id with nulls last and then by t."""
+    order = F.struct(F.col("i").isNull().alias("z"), "i", "t")
+    rows = table(found.groupBy("i", "t", "root").agg(F.lit(1).alias("one")).select("i", "t", "root"), "near-rows")
+    first = rows.groupBy("root").agg(F.min(order).alias("first"))
+    gone = rows.join(first, "root").where(~order.eqNullSafe(F.col("first"))).select(F.col("i").alias("__gone_i"), F.col("t").alias("__gone_t")).distinct()
+    gone = table(gone, "near-gone")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    own = df.select(row.alias("row"), F.col(f"`{id_col}`").alias("__i"), F.xxhash64(text_col).alias("__t"))
+    return own.join(gone, (F.col("__t") == F.col("__gone_t")) & F.col("__i").eqNullSafe(F.col("__gone_i")), "left_anti").select("row.*")
