@@ -16,6 +16,7 @@ everything, the smallest locator stays. Extra columns are ignored. An empty tabl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,11 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
+def as_pattern(path: str) -> str:
+    """A pattern that only this path meets: the file source takes a single file only as a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path[:-1]) + f"[{path[-1]}]"
+
+
 def stream_state(spark: SparkSession, path: str, checkpoint: str, id_col: str, text_col: str, digest: Callable[[Column], Column] = sha256_of, max_bytes_per_trigger: str | None = None) -> DataFrame:
     """Run the stream over the Parquet files at path that the checkpoint has not seen, then read the state: (digest, keep, size)."""
     schema = spark.read.parquet(path).schema
@@ -66,8 +72,8 @@ def stream_state(spark: SparkSession, path: str, checkpoint: str, id_col: str, t
         stream = spark.readStream.schema(schema)
         if max_bytes_per_trigger:
             stream = stream.option("maxBytesPerTrigger", max_bytes_per_trigger)
-        # as a pattern: the file source takes a single file only so
-        rows = _rows(stream.parquet(f"{path[:-1]}[{path[-1]}]"), id_col, text_col)
+        # files of any age: the default leaves out those a week older than the newest one seen
+        rows = _rows(stream.option("maxFileAge", "36500d").parquet(as_pattern(path)), id_col, text_col)
         held = rows.groupBy(digest(normalised(F.col("__t"))).alias("digest")).agg(F.min(_rank(id_col)).alias("keep"), F.count("*").alias("size"))
         query = held.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -82,17 +88,19 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
 
     checkpoint: the state's place; given again, only new files are read by the stream. The table must hold every file that the state has seen.
     """
-    empty = spark.read.parquet(path).limit(1).isEmpty()
-    schema = f"`{id_col}` {spark.read.parquet(path).schema[id_col].dataType.simpleString()}, keep_id {spark.read.parquet(path).schema[id_col].dataType.simpleString()}, group_size long, kept boolean, digest binary"
-    if empty:
-        return spark.createDataFrame([], schema)
+    whole = spark.read.parquet(path)
+    kind = whole.schema[id_col].dataType.simpleString()
+    if whole.limit(1).isEmpty():
+        return spark.createDataFrame([], f"`{id_col}` {kind}, keep_id {kind}, group_size long, kept boolean, digest binary")
     state = table(stream_state(spark, path, checkpoint or scratch(spark, "dedup-state"), id_col, text_col, digest, max_bytes_per_trigger), "dedup-held")
     held = state.select("digest", F.col("keep.id").alias("__kid"), F.col("keep.file").alias("__kfile"), F.col("keep.row").alias("__krow"), "size")
     rows = _rows(spark.read.parquet(path), id_col, text_col)
     norm = normalised(F.col("__t"))
     # narrow rows: what the result is made of
     keyed = table(rows.select("__id", F.length(F.coalesce("__t", F.lit(""))).alias("__n"), "__file", "__row", digest(norm).alias("digest")), "dedup-keyed")
-    joined = keyed.join(held, "digest")
+    # a row without a state would be lost by an inner join: it is an error
+    known = F.when(F.col("size").isNull(), F.raise_error(F.lit("exact_dedup: a row's digest is not in the state; was the table changed under the stream?"))).otherwise(F.col("size"))
+    joined = keyed.join(held, "digest", "left").withColumn("size", known)
     own = (F.col("__file") == F.col("__kfile")) & (F.col("__row") == F.col("__krow"))
     # full bytes of all members of groups: equal if the least and the greatest are, which combines before the shuffle
     shared = held.where("size > 1").select(F.col("digest").alias("__d"))
