@@ -68,7 +68,17 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.score_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op6_suffix_dedup, op7_line_dedup, op8_temperature_mix, op9_bpe_encode, op10_lm_score)}
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express, from the same operator."""
+    return secret_grammar.scan(read(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can express, from the same operator."""
+    return quality_bands.measure(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_chat_format, op3_simhash_near_dedup, op4_secret_scan, op5_quality_rules, op6_suffix_dedup, op7_line_dedup, op8_temperature_mix, op9_bpe_encode, op10_lm_score, secret_base_counts, quality_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
 ORACLE_SQL["op1_exact_dedup"] = r"""
@@ -145,3 +155,21 @@ k as (select g.doc_id, sum(b - a) as removed, count(*) as spans, string_agg(subs
 select d.doc_id, length(hx) // 2 as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, hx))) as kept_sha256
 from d left join k on d.doc_id = k.doc_id
 """
+ORACLE_SQL["secret_base_counts"] = r"""
+with d as (select doc_id, coalesce(text, '') as t from documents)
+select doc_id,
+  len(list_filter(regexp_extract_all(t, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) as n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) as n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) as n_hex
+from d
+"""
+ORACLE_SQL["quality_counts"] = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] as gram from (select doc_id, w, unnest(range(1, len(w) - 1)) as p from d where len(w) >= 3)),
+twice as (select *, count(*) over (partition by doc_id, gram) as n from g),
+marked as (select doc_id, count(distinct p + o) as n_repeat from twice, (values (0), (1), (2)) as x(o) where n > 1 group by 1),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+c as (select d.doc_id, len(w) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n_repeat, 0) as n_repeat_words from d join l on d.doc_id = l.doc_id left join marked m on d.doc_id = m.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c
+"""

@@ -11,7 +11,9 @@ import zstandard
 
 import corpus_pipeline
 from rillstore.llm import quality_bands
-from rillstore.llm.simhash_vptree import fingerprint
+from rillstore.llm.queries import vocabulary
+
+from .test_similar import groups_by_jaccard
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -45,15 +47,7 @@ def test_stages(spark):
     assert df.columns == docs.columns and {r.doc_id: (r.text, r.n_chars) for r in df.collect()} == {i: (t, len(t)) for i, t in left.items()}
     # near-duplicates
     df = corpus_pipeline.STAGES[2][1](spark, df, SF)
-    ids = sorted(left)
-    x = np.array([fingerprint(left[i].encode(), 5) for i in ids], np.uint64)
-    root = np.arange(len(ids))
-    while True:
-        low = np.array([root[np.bitwise_count(x ^ v) <= corpus_pipeline.NEAR_BITS].min() for v in x])
-        if (low == root).all():
-            break
-        root = low
-    kept = {i: left[i] for k, i in enumerate(ids) if root[k] == k}
+    kept = {i: left[i] for i in groups_by_jaccard(left)}
     assert df.columns == docs.columns and {r.doc_id: r.text for r in df.collect()} == kept
     # mixing: every copy is a whole document; no source is over its budget
     df = corpus_pipeline.STAGES[3][1](spark, df, SF)
@@ -62,9 +56,28 @@ def test_stages(spark):
     tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
     assert sum(tokens(r.text) for r in mixed) <= sum(map(tokens, kept.values()))
     # BPE, and run() as a whole
-    tk = Tokenizer.from_file(corpus_pipeline.vocabulary())
+    tk = Tokenizer.from_file(vocabulary())
     want = Counter()
     for r in mixed:
         e = tk.encode(r.text, add_special_tokens=False).ids
         want[r.doc_id, len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()] += 1
     assert Counter(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
+
+
+def test_stages_of_odd_tables(spark):
+    """Every stage by itself: null and repeated ids, null and empty texts, ties, a long text, clashing names, no rows."""
+    good = " ".join(f"{w}{i}" for i, w in enumerate("river stone light paper wind garden road music".split() * 20))
+    other = "\n".join(" ".join(f"{w}-{i}-{k}" for k, w in enumerate("one two three four five six seven".split())) for i in range(9))
+    rows = [(1, good), (1, good), (2, good), (None, good), (None, other), (3, other), (4, None), (5, ""), (6, " \n\t"), (7, "\n".join(f"{good} {i}" for i in range(300)))]
+    names = ["blocks", "need", "row", "kept", "key", "n", "i", "t", "root", "lines", "__key", "__row", "kept_text", "__n_removed", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), *range(len(names))) for i, t in rows], schema)
+    want = {"line dedup": 9, "SimHash near-dedup": 5, "mixing": 10, "BPE": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        if name in want:
+            assert len(got) == want[name], (name, [(r.doc_id) for r in got])
+        if name != "BPE":
+            assert out.columns == docs.columns and all(tuple(r[5:]) == tuple(range(len(names))) for r in got), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

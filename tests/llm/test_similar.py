@@ -2,9 +2,10 @@
 
 import os
 
+import numpy as np
 import pytest
 
-import corpus_pipeline
+from rillstore.llm import pipeline, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,7 +55,7 @@ def made():
 
 def check(spark, texts):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = corpus_pipeline.near_duplicates(spark, docs, None)
+    got = pipeline.near_duplicates(spark, docs, None)
     assert sorted(r.doc_id for r in got.collect()) == groups_by_jaccard(texts)
 
 
@@ -65,3 +66,53 @@ def test_made(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_documents(spark):
     check(spark, {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()})
+
+
+BIG = "/root/testdata/sf0.1"
+
+
+def similar_pairs(sets, percent=80):
+    """All pairs of different sets with that Jaccard similarity, from the postings of every shingle."""
+    number = {}
+    rows = [np.array([number.setdefault(s, len(number)) for s in x], np.int64) for x in sets]
+    order = np.argsort(np.concatenate(rows), kind="stable")
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[order]
+    ends = np.cumsum(np.bincount(np.concatenate(rows), minlength=len(number)))
+    starts, n = ends - np.diff(np.r_[0, ends]), np.array([len(r) for r in rows])
+    for i, r in enumerate(rows):
+        common = np.bincount(np.concatenate([of[starts[s] : ends[s]] for s in r.tolist()]), minlength=len(rows))
+        for j in np.flatnonzero(100 * common >= percent * (n[i] + n - common)):
+            if j > i:
+                yield i, int(j)
+
+
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no test tables")
+def test_recall_and_precision_against_all_pairs(spark, capsys):
+    """Over all 10,000 texts: of the pairs of different sets at 0.8 or more, the share that ends in one group; and no group holds what no chain of such pairs joins."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    by_set = {}
+    for i, t in texts.items():
+        by_set.setdefault(frozenset(shingles(t)), []).append(i)
+    sets = [s for s in by_set if s]
+    got = {r.i: r.root for r in similar.similar(docs).collect()}
+    assert all(len({got[i] for i in ids}) == 1 for ids in by_set.values())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = list(similar_pairs(sets))
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    mine = [got[by_set[s][0]] for s in sets]
+    found = sum(mine[a] == mine[b] for a, b in pairs)
+    joined = {}
+    for k, m in enumerate(mine):
+        joined.setdefault(m, set()).add(find(k))
+    with capsys.disabled():
+        print(f"\n{len(pairs)} pairs at 0.8 or more, {found} found; {len(set(map(find, range(len(sets)))))} groups, {len(set(mine))} found")
+    assert len(pairs) > 100 and found >= 0.97 * len(pairs) and all(len(x) == 1 for x in joined.values())
