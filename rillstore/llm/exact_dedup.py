@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop, scratch, table
+from .common import SPACE, _place, drop, scratch, table
 
 
 #: RocksDB with change logs, bounded memory for each executor, and no preallocated files, of which each partition would hold megabytes.
@@ -83,36 +83,63 @@ def stream_state(spark: SparkSession, path: str, checkpoint: str, id_col: str, t
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    fs, p = _place(spark, path)
+    return fs.exists(p)
+
+
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_of, checkpoint: str | None = None, max_bytes_per_trigger: str | None = None) -> DataFrame:
     """One row per row of the Parquet table at path: id_col, keep_id, group_size, kept, digest.
 
-    checkpoint: the state's place; given again, only new files are read by the stream. The table must hold every file that the state has seen.
+    checkpoint: the state's place; given again, texts are read only of new files, and of files that hold members of groups
+    that new rows came into. Beside it stand the narrow rows of all files seen. The table must hold every file that the
+    state has seen.
     """
     whole = spark.read.parquet(path)
     kind = whole.schema[id_col].dataType.simpleString()
     if whole.limit(1).isEmpty():
         return spark.createDataFrame([], f"`{id_col}` {kind}, keep_id {kind}, group_size long, kept boolean, digest binary")
-    state = table(stream_state(spark, path, checkpoint or scratch(spark, "dedup-state"), id_col, text_col, digest, max_bytes_per_trigger), "dedup-held")
+    place = checkpoint.rstrip("/") if checkpoint else scratch(spark, "dedup-state")
+    state = table(stream_state(spark, path, place, id_col, text_col, digest, max_bytes_per_trigger), "dedup-held")
     held = state.select("digest", F.col("keep.id").alias("__kid"), F.col("keep.file").alias("__kfile"), F.col("keep.row").alias("__krow"), "size")
-    rows = _rows(spark.read.parquet(path), id_col, text_col)
-    norm = normalised(F.col("__t"))
-    # narrow rows: what the result is made of
-    keyed = table(rows.select("__id", F.length(F.coalesce("__t", F.lit(""))).alias("__n"), "__file", "__row", digest(norm).alias("digest")), "dedup-keyed")
+    norm, file = normalised(F.col("__t")), F.col("_metadata.file_path")
+
+    def rows_of(files: list[str] | None) -> DataFrame:
+        return _rows(whole if files is None else whole.where(file.isin(files)), id_col, text_col)
+
+    # narrow rows: what the result is made of. One row a file reaches the driver
+    narrow = lambda df: df.select("__id", "__file", "__row", digest(norm).alias("digest"))
+    schema, new = narrow(rows_of(None)).schema, None
+    if _there(spark, f"{place}-rows"):
+        seen = spark.read.schema(schema).parquet(f"{place}-rows").select("__file").distinct()
+        every = whole.select(file.alias("__file")).distinct()
+        new = [r[0] for r in every.join(seen, "__file", "left_anti").collect()]
+    narrow(rows_of(new)).write.mode("append").parquet(f"{place}-rows")
+    keyed = spark.read.schema(schema).parquet(f"{place}-rows")
     # a row without a state would be lost by an inner join: it is an error
     known = F.when(F.col("size").isNull(), F.raise_error(F.lit("exact_dedup: a row's digest is not in the state; was the table changed under the stream?"))).otherwise(F.col("size"))
     joined = keyed.join(held, "digest", "left").withColumn("size", known)
     own = (F.col("__file") == F.col("__kfile")) & (F.col("__row") == F.col("__krow"))
-    # full bytes of all members of groups: equal if the least and the greatest are, which combines before the shuffle
-    shared = held.where("size > 1").select(F.col("digest").alias("__d"))
-    wide = rows.select(digest(norm).alias("digest"), norm.cast("binary").alias("__norm"))
-    wide = table(wide.join(shared, F.col("digest") == F.col("__d")).select("digest", "__norm"), "dedup-hits")  # one shuffle of texts; only those of groups go on
+    # full bytes of all members of the groups that new rows are in: equal if the least and the greatest are, which combines before the shuffle
+    shared = held.where("size > 1").select("digest")
+    if new is not None:
+        shared = shared.join(keyed.where(F.col("__file").isin(new)).select("digest"), "digest", "left_semi")
+    hits = keyed.join(shared, "digest", "left_semi").select("digest", F.col("__file").alias("__hfile"), F.col("__row").alias("__hrow"))
+    files = None
+    if new is not None:
+        hits = table(hits, "dedup-members")
+        files = [r[0] for r in hits.select("__hfile").distinct().collect()]
+    texts = rows_of(files).select("__file", "__row", norm.cast("binary").alias("__norm"))
+    wide = texts.join(hits, (F.col("__row") == F.col("__hrow")) & (F.col("__file") == F.col("__hfile")))
+    wide = table(wide.select("digest", "__norm"), "dedup-hits")  # one shuffle of texts; only those of groups go on
     wrong = wide.groupBy("digest").agg(F.min("__norm").alias("a"), F.max("__norm").alias("b")).where("a <> b").select("digest")
-    wrong = table(wrong, "dedup-wrong")
+    wrong.write.mode("append").parquet(f"{place}-wrong")
+    wrong = spark.read.schema(wrong.schema).parquet(f"{place}-wrong").distinct()
     drop(wide)
     fine = joined.select(F.col("__id").alias(id_col), F.col("__kid").alias("keep_id"), F.col("size").alias("group_size"), own.alias("kept"), "digest")
     if wrong.isEmpty():
         return fine
-    again = rows.select("__id", "__t", "__file", "__row", digest(norm).alias("digest"), norm.cast("binary").alias("__norm")).join(wrong, "digest", "left_semi")
+    again = rows_of(None).select("__id", "__t", "__file", "__row", digest(norm).alias("digest"), norm.cast("binary").alias("__norm")).join(wrong, "digest", "left_semi")
     groups = again.groupBy("digest", "__norm").agg(F.min(_rank(id_col)).alias("__keep"), F.count("*").alias("group_size"))
     exact = again.join(groups, ["digest", "__norm"]).select(F.col("__id").alias(id_col), F.col("__keep.id").alias("keep_id"), "group_size", ((F.col("__file") == F.col("__keep.file")) & (F.col("__row") == F.col("__keep.row"))).alias("kept"), "digest")
     return fine.join(wrong, "digest", "left_anti").select(id_col, "keep_id", "group_size", "kept", "digest").unionByName(exact)
