@@ -19,11 +19,13 @@ Scores depend on the dealing of rows to partitions through training; for the sam
 
 Cases: null and empty texts have no tokens and score 0 (mean null). Null and repeated ids pass through, a row for each
 input row. Extra columns are ignored, whatever their names. An empty table gives an empty one. A worker holds 400 kB of
-text, or one text that is longer, as Python objects; positions are scored 8,192 at a time.
+text, or one text that is longer, as Python objects; positions are scored 2,048 at a time.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -250,6 +252,40 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray, net: Networ
     return logp, (near, emb, h, row, col, eu / su[:, None], g, ev / sv[:, None])
 
 
+def log_prob(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray, net: Network) -> np.ndarray:
+    """The first of what forward() gives, without the rest; in place, and without the shift that only an overflow needs."""
+    h = p["E"][x[at + net.offsets[0]]] * p["P"][0]
+    for k, o in enumerate(net.offsets[1:], 1):
+        h += p["E"][x[at + o]] * p["P"][k]
+    h += p["c"]
+    np.tanh(h, out=h)
+    row, col = np.divmod(x[at], net.side)
+    r = np.arange(len(at))
+    u = h @ p["A"]
+    u += p["a"]
+    out = u[r, row].astype(np.float64)
+    h *= p["U"][row]
+    h += p["G"][row]
+    v = h @ p["B"]
+    v += p["b"][row]
+    out += v[r, col]
+    with np.errstate(over="ignore"):
+        for z in (u, v):
+            np.exp(z, out=z)
+            out -= np.log(z.sum(axis=1))
+    return out if np.isfinite(out).all() else forward(p, x, at, net)[0].astype(np.float64)
+
+
+def one_thread() -> None:
+    """The products here are small: further threads of the matrix library would only wait for each other, and burn a core each."""
+    with contextlib.suppress(OSError), open("/proc/self/maps") as f:
+        for path in {line.split()[-1] for line in f if "openblas" in line}:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+
+
 def train_step(p: dict[str, np.ndarray], acc: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray, net: Network) -> float:
     """One adagrad step on the masked positions; their mean log-probability before it."""
     logp, (near, emb, h, row, col, pu, g, pv) = forward(p, x, at, net)
@@ -310,6 +346,7 @@ def fit(df: DataFrame, text_col: str = "text", net: Network = Network(), sized:
         def local(batches: Iterator[pa.RecordBatch], now=now, turn=turn) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
+            one_thread()
             p = net.unpack(now.value)
             acc = {k: np.full(v.shape, 0.05 / net.batch, np.float32) for k, v in p.items()}
             seen, ids, part = 0, shared.value, TaskContext.get().partitionId()
@@ -358,9 +395,8 @@ def log_probs(raws: list[bytes], words: Words, p: dict[str, np.ndarray]) -> tupl
     got = [token_ids(r, words.ids, net.side) for r in raws]
     x, at, of, _ = lay_out([i for i, _ in got], net)
     sums = np.zeros(len(raws))
-    for lo in range(0, len(at), 8192):
-        logp, _ = forward(p, x, at[lo : lo + 8192], net)
-        sums += np.bincount(of[lo : lo + 8192], logp, minlength=len(raws))
+    for lo in range(0, len(at), 2048):
+        sums += np.bincount(of[lo : lo + 2048], log_prob(p, x, at[lo : lo + 2048], net), minlength=len(raws))
     # the word within its bucket
     rare = [w for _, r in got for w in r]
     if rare:
@@ -375,6 +411,7 @@ def score(df: DataFrame, model: tuple[Words, np.ndarray], id_col: str = "doc_id"
     from pyspark.sql.pandas.types import to_arrow_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         words, flat = shared.value
         p = words.net.unpack(flat)
         for keys, raws in _groups(batches):
