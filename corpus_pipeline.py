@@ -1,55 +1,8 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicates, mixing, BPE. Counted as part of rillstore.llm.
+"""The corpus pipeline at the repository's top; its stages are in rillstore.llm.pipeline, with which this file goes."""
 
-Each stage takes (spark, docs, sf_dir), docs being all that the stage before kept, written as Parquet and read again.
-All but the last return the columns of documents.
-"""
+from rillstore.llm.pipeline import NEAR_BITS, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from rillstore.llm import bpe_transducer, line_dedup, quality_bands, simhash_vptree, temperature_mix
-from rillstore.llm.common import read, table
-from rillstore.llm.queries import vocabulary
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_bands.keep(docs, bands=quality_bands.calibrate(docs, read(spark, sf_dir, "labels")))
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go, and documents of which nothing is left."""
-    out = line_dedup.dedup_lines(docs).where("__n_removed = 0 or length(kept_text) > 0")
-    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("__n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: sets of five-word shingles at a Jaccard similarity of 0.8 or more."""
-    return simhash_vptree.keep_one_similar(docs, shingle=5, percent=80, radius=NEAR_BITS)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at temperature weights; a document appears once for each pass that takes it."""
-    return temperature_mix.mix(docs).select(*docs.columns)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
-    return bpe_transducer.encode_decode(docs, vocabulary())
-
-
-#: Fingerprints of 64 bits within which two texts are tried first; what links them is the similarity of their shingles.
-NEAR_BITS = 6
-STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mixture), ("BPE", tokens)]
 #: SQL cannot express zstandard, SimHash or BPE stages; tests/llm hold run() against a brute-force version.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-").lower())
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["NEAR_BITS", "ORACLE_SQL", "STAGES", "run"]
