@@ -35,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def gathered(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """table() of narrow rows, about so many, made by many tasks: one more shuffle, and a file for FILE_ROWS of them, not a tiny one of each task."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table(df.repartition(max(1, min(most, -(-rows // FILE_ROWS)))), name)
+
+
 def _place(spark: SparkSession, path: str):
     """The path's file system, and the path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -100,11 +106,18 @@ def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(lean(run), schema)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
+#: Rows of a file of a table whose size is known.
+FILE_ROWS = 250_000
+
+
+def table(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    rows: about how many there are, where that is known. The table then has files of FILE_ROWS, not a tiny one of each task.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rill_path = path
     return out
@@ -158,15 +171,15 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     folder.
     """
     e = table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
-    old = None
+    n, old = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = table(large, name)
+        large = table(large, name, n)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = table(small, name)
+        new = table(small, name, n)
         sig = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         drop(e, large)
         e = new

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_arrow, pieces, table
+from .common import components, gathered, in_arrow, pieces, table
 
 BITS = 64
 
@@ -282,7 +282,7 @@ def one_of_each(df: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
     rows = table(found.groupBy("i", "t", "root").agg(F.lit(1).alias("one")).select("i", "t", "root"), "near-rows")
     first = rows.groupBy("root").agg(F.min(order).alias("first"))
     gone = rows.join(first, "root").where(~order.eqNullSafe(F.col("first"))).select(F.col("i").alias("__gone_i"), F.col("t").alias("__gone_t")).distinct()
-    gone = table(gone, "near-gone")
+    gone = gathered(gone, "near-gone", rows.count())
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
     own = df.select(row.alias("row"), F.col(f"`{id_col}`").alias("__i"), F.xxhash64(text_col).alias("__t"))
     return own.join(gone, (F.col("__t") == F.col("__gone_t")) & F.col("__i").eqNullSafe(F.col("__gone_i")), "left_anti").select("row.*")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, in_arrow, pieces, table
+from .common import components, drop, gathered, in_arrow, pieces, table
 from .simhash_vptree import links, majority, one_of_each, shingle_hashes
 
 VALUES, BANDS, ROWS = 320, 120, 16
@@ -107,39 +107,42 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     """(i, t, root) for each row: id, hash of the text, and the group under links between shingle sets of Jaccard similarity percent / 100 or more."""
     rows = table(signatures(df, id_col, text_col, shingle), "similar-rows")
     classes = table(rows.groupBy("key").agg(F.first("fp").alias("__fp"), F.first("n").alias("n"), F.min("t").alias("t"), F.first("bands").alias("bands")), "similar-classes")
+    n = classes.count()
     # bands that two classes or more share; a class joins its bands again, as narrow rows
     each = classes.select("key", F.explode("bands").alias("s"))
     ends = table(each.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "similar-ends")
     shared = table(each.join(ends, "s"), "similar-shared")
     drop(ends)
+    n_shared = shared.count()
     tree = links(classes.select("__fp").distinct(), radius)
     faces = classes.groupBy("__fp").agg(F.min("key").alias("face"))
     near = tree.join(faces.select(F.col("__fp").alias("a"), F.col("face").alias("x")), "a").join(faces.select(F.col("__fp").alias("b"), F.col("face").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = classes.join(faces, "__fp").where("key <> face").select(F.col("key").alias("a"), F.col("face").alias("b"))
     most = shared.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    first = table(near.unionByName(same).unionByName(most.select(F.col("key").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))).where("a <> b"), "similar-first")
+    first = near.unionByName(same).unionByName(most.select(F.col("key").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))).where("a <> b")
+    first = gathered(first, "similar-first", 2 * n)
     # the sets of all classes that stand in a candidate
     able = first.select(F.col("a").alias("key")).union(first.select("b")).union(shared.select("key")).distinct()
     texts = classes.join(able, "key", "left_semi").select(F.col("t").alias("__t"))
     some = df.where(F.length(text_col) > 0).select(text_col).join(texts, F.xxhash64(text_col) == F.col("__t"), "left_semi")
     sets = table(shingle_sets(some, text_col, shingle).groupBy("key").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "similar-sets")
-    sure = table(verified(first, sets, percent), "similar-sure")
+    sure = gathered(verified(first, sets, percent), "similar-sure", n)
 
     def apart(sure: DataFrame) -> DataFrame:
         """Classes in shared bands that hold more than one group, with their group."""
         comp = components(sure, "similar-cc")
-        named = table(shared.select("s", "key").join(comp, shared["key"] == comp["node"], "left").select("s", "key", F.coalesce("root", "key").alias("root")), "similar-named")
+        named = gathered(shared.select("s", "key").join(comp, shared["key"] == comp["node"], "left").select("s", "key", F.coalesce("root", "key").alias("root")), "similar-named", n_shared)
         mixed = named.groupBy("s").agg(F.min(F.struct("root", "key")).alias("lo"), F.max(F.struct("root", "key")).alias("hi")).where("lo.root < hi.root")
-        return table(named.join(mixed, "s"), "similar-apart")
+        return gathered(named.join(mixed, "s"), "similar-apart", n_shared)
 
     rest = apart(sure)
     other = lambda c: F.when(F.col("root") != F.col(f"{c}.root"), F.col(f"{c}.key"))
     tried = rest.select(F.col("key").alias("a"), F.explode(F.array(other("lo"), other("hi"))).alias("b")).where("b is not null")
-    sure = sure.unionByName(table(verified(tried, sets, percent), "similar-sure"))
+    sure = sure.unionByName(gathered(verified(tried, sets, percent), "similar-sure", n))
     rest = apart(sure).select("s", "key", "root")
     pair = rest.select("s", *(F.col(c).alias(f"{c}_b") for c in ("key", "root")))
     pairs = rest.join(pair, "s").where((F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")))
-    sure = sure.unionByName(table(verified(pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")), sets, percent), "similar-sure"))
+    sure = sure.unionByName(gathered(verified(pairs.select(F.col("key").alias("a"), F.col("key_b").alias("b")), sets, percent), "similar-sure", n))
     comp = components(sure, "similar-cc")
     return rows.join(comp, rows["key"] == comp["node"], "left").select("i", "t", F.coalesce("root", "key").alias("root"))
 
