@@ -80,6 +80,8 @@ def test_exact_dedup_goes_on_from_its_state(spark, tmp_path):
     os.utime(f"{p}/{newest}", (1e9, 1e9))
     got = {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, p, checkpoint=ck).collect()}
     assert got == {(0, 0, 4), (1, 0, 4), (2, 0, 4), (4, 0, 4), (3, 3, 1), (None, None, 1)}
+    again = exact_dedup.exact_dedup(spark, p, checkpoint=ck)  # nothing new: the same rows, none twice
+    assert again.count() == 6 and {(r.doc_id, r.keep_id, r.group_size) for r in again.collect()} == got
     assert exact_dedup.as_pattern("/a/b*c/d") == "/a/b\\*c/[d]"
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "e"))
     assert exact_dedup.exact_dedup(spark, str(tmp_path / "e")).count() == 0
