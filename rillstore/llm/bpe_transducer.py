@@ -283,7 +283,7 @@ class Lexicon:
 class Encoder:
     """Words to ids: a bounded memory of recent words before the lexicon, the exact merger behind it."""
 
-    def __init__(self, merger: Merger, lexicon: Lexicon, classes: np.ndarray, most: int = 150_000) -> None:
+    def __init__(self, merger: Merger, lexicon: Lexicon, classes: np.ndarray, most: int = 300_000) -> None:
         self.merger, self.lexicon, self.classes, self.most = merger, lexicon, classes, most
         self.special = [s.decode() for s in merger.special]
         self.forget()
