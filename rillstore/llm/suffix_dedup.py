@@ -281,7 +281,7 @@ def _cut(id_type: pa.DataType, id_col: str, width: int, with_kept: bool) -> Call
     return run
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_bytes: int = 6_000_000, with_kept: bool = False, bound: int = 1 << 18) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_bytes: int = 3_000_000, with_kept: bool = False, bound: int = 1 << 18) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_removed, n_spans, kept_sha256; with_kept adds kept (bytes). id_col must be an integer column.
 
     bound: how many suffix tuples a task holds in memory, whatever its shard's size.
