@@ -2,8 +2,8 @@
 
 Compression ratio is bytes / compressed bytes. A whole text, and each fixed chunk of it, must stay inside a band that
 depends on the length of the text: short texts compress less, so each length class has limits of its own. Too high a ratio is
-repetition, too low is noise (keys, encoded binaries). calibrate() draws the upper limits in to what labelled good texts
-of a length class show, which also catches markup and symbol litter that repeats without repeating words.
+repetition, too low is noise (keys, encoded binaries). calibrate() draws the upper limits in to what all labelled good
+texts of a length class show, which also catches markup and symbol litter that repeats without repeating words.
 
 Cases: null text counts as empty (no words, base_failed, not kept). Null and repeated ids pass through, a row for each
 input row. Extra columns are ignored by measure() and returned as they are by keep(). An empty table gives an empty one.
@@ -12,16 +12,17 @@ A worker holds a piece of an Arrow batch as Python objects, a megabyte of text o
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, pieces
+from .common import in_arrow, pieces, table
 
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 
@@ -116,21 +117,50 @@ def keep(df: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataF
     return in_arrow(plain, run, plain.schema).toDF(*df.columns)
 
 
-def calibrate(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000, spread: float = 5.0, least: int = 20, bands: Bands = Bands()) -> Bands:
+def sized(df: DataFrame, id_col: str, text_col: str, bands: Bands) -> DataFrame:
+    """measure(), the id in a struct k with the text's bytes: (i, n)."""
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    return measure(df.select(F.struct(F.col(id_col).alias("i"), size.alias("n")).alias("k"), F.col(text_col).alias("t")), "k", "t", bands)
+
+
+def by_length(n: Column, values: list, whole: tuple) -> Column:
+    """Of values, one for each length class, that of a text of n bytes."""
+    got = F.lit(values[-1])
+    for x, (most, *_) in reversed(list(zip(values[:-1], whole[:-1], strict=True))):
+        got = F.when(n <= int(most), F.lit(x)).otherwise(got)
+    return got
+
+
+#: Ratios are summed in steps of 2 ** -24, exactly, so that the limits don't hang on the order of rows.
+STEP = 1 << 24
+
+
+def fit(seen: DataFrame, labels: DataFrame, id_col: str, label_col: str, spread: float, least: int, bands: Bands) -> Bands:
+    """calibrate() from sized() rows: only they, not texts, are joined with the labels."""
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__good")).distinct()
+    rows = seen.where("not base_failed and k.i is not null").select(F.col("k.i").alias("i"), F.col("k.n").alias("n"), (F.col("zstd_ratio") * STEP).cast("long").cast("decimal(19,0)").alias("q"))
+    rows = rows.join(good, F.col("i") == F.col("__good"), "left_semi")
+    rank = by_length(F.col("n"), list(range(len(bands.whole))), bands.whole)
+    limit = {}
+    for r in rows.groupBy(rank.alias("k")).agg(F.count("*").alias("c"), F.sum("q").alias("s"), F.sum(F.col("q") * F.col("q")).alias("ss")).collect():
+        if r.c >= least:
+            s, ss = int(r.s), int(r.ss)
+            limit[r.k] = (s + spread * math.sqrt(r.c * ss - s * s)) / r.c / STEP
+    return replace(bands, whole=tuple((n, lo, min(hi, limit.get(k, hi))) for k, (n, lo, hi) in enumerate(bands.whole)))
+
+
+def calibrate(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", spread: float = 5.0, least: int = 20, bands: Bands = Bands()) -> Bands:
     """bands with upper limits of whole texts at mean + spread standard deviations of good texts, where a length class has `least` of them; never above what they were.
 
-    Fitted on the documents of about `most` ids labelled 1 (those with the smallest hashes), wherever they lie; one row
-    for each length class reaches the driver.
+    Fitted on all documents whose ids are labelled 1; one row for each length class reaches the driver.
     """
-    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__good")).distinct()
-    n = good.count()
-    if n > most:
-        good = good.where(F.xxhash64("__good") < F.lit(int(most / n * 2.0**64) - (1 << 63)))
-    sample = df.join(F.broadcast(good), F.col(id_col) == F.col("__good"), "left_semi").select(F.octet_length(text_col).cast("long").alias("n"), F.col(text_col).alias("t"))
-    seen = measure(sample, "n", "t", bands).where("not base_failed")
-    rank = F.lit(len(bands.whole) - 1)
-    for k in range(len(bands.whole) - 2, -1, -1):
-        rank = F.when(F.col("n") <= int(bands.whole[k][0]), F.lit(k)).otherwise(rank)
-    got = {r.k: r for r in seen.groupBy(rank.alias("k")).agg(F.count("*").alias("c"), F.avg("zstd_ratio").alias("m"), F.stddev_pop("zstd_ratio").alias("s")).collect()}
-    drawn = tuple((n, lo, min(hi, got[k].m + spread * got[k].s) if k in got and got[k].c >= least else hi) for k, (n, lo, hi) in enumerate(bands.whole))
-    return replace(bands, whole=drawn)
+    seen = sized(df, id_col, text_col, replace(bands, chunk_bytes=1 << 62))  # chunks have no part in it
+    return fit(seen, labels, id_col, label_col, spread, least, bands)
+
+
+def calibrated(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", spread: float = 5.0, least: int = 20, bands: Bands = Bands()) -> DataFrame:
+    """measure() under the bands of calibrate(), each text counted and compressed once: the limits are held against a table of what was measured."""
+    seen = table(sized(df, id_col, text_col, bands), "quality")
+    drawn = fit(seen, labels, id_col, label_col, spread, least, bands).whole
+    kept = F.col("kept") & (F.col("zstd_ratio") <= by_length(F.col("k.n"), [x[2] for x in drawn], drawn))
+    return seen.select(F.col("k.i").alias(id_col), *(n for n, _ in FIELDS[:-1]), kept.alias("kept"))

@@ -36,8 +36,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return quality_bands.measure(docs, bands=quality_bands.calibrate(docs, read(spark, sf_dir, "labels")))
+    return quality_bands.calibrated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
