@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 from collections import Counter
 
@@ -81,3 +82,20 @@ def test_stages_of_odd_tables(spark):
         if name != "BPE":
             assert out.columns == docs.columns and all(tuple(r[5:]) == tuple(range(len(names))) for r in got), name
         assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_quality_by_all_labels(spark, tmp_path):
+    """The first stage's limits come from all documents labelled good: of 30 in a length class, a part would be too few to draw its limit in."""
+    rnd, z, b = random.Random(8), zstandard.ZstdCompressor(level=3), quality_bands.Bands()
+    word = lambda letters, most: "".join(rnd.choices(letters, k=rnd.randint(2, most)))
+    good = {i: " ".join(word("etaoinshrdlu", 9) for _ in range(rnd.randint(130, 140))) for i in range(0, 60_000, 2_000)}
+    litter = {60_000 + i: "".join(word("etaoinshrdlu", 4) + "### " for _ in range(110)) for i in range(10)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in {**good, **litter}.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.range(60_000).selectExpr("id as doc_id", "1 as quality").write.parquet(f"{tmp_path}/labels.parquet")
+    ratios = [len(t) / len(z.compress(t.encode())) for t in good.values()]
+    top = next(k for k, x in enumerate(b.whole) if max(map(len, good.values())) <= x[0])
+    assert {next(k for k, x in enumerate(b.whole) if len(t) <= x[0]) for t in [*good.values(), *litter.values()]} <= {top}, "one length class"
+    limit = np.mean(ratios) + 5 * np.std(ratios)
+    want = {i for i, t in {**good, **litter}.items() if len(t) / len(z.compress(t.encode())) <= limit}
+    assert want == set(good) and all(quality_bands.judge(t.encode(), z, b)[-1] for t in litter.values())
+    assert {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()} == want
