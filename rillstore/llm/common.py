@@ -41,6 +41,11 @@ def gathered(df: DataFrame, name: str, rows: int) -> DataFrame:
     return table(df.repartition(max(1, min(most, -(-rows // FILE_ROWS)))), name)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """gathered(), where it is not known how many rows there are: adaptive execution deals them into files of its advisory size."""
+    return table(df.hint("rebalance"), name)
+
+
 def _place(spark: SparkSession, path: str):
     """The path's file system, and the path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

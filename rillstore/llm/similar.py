@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, gathered, in_arrow, pieces, table
+from .common import components, drop, gathered, in_arrow, pieces, settled, table
 from .simhash_vptree import links, majority, one_of_each, shingle_hashes
 
 VALUES, BANDS, ROWS = 320, 120, 16
@@ -110,8 +110,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     n = classes.count()
     # bands that two classes or more share; a class joins its bands again, as narrow rows
     each = classes.select("key", F.explode("bands").alias("s"))
-    ends = table(each.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "similar-ends")
-    shared = table(each.join(ends, "s"), "similar-shared")
+    ends = settled(each.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi"), "similar-ends")
+    shared = settled(each.join(ends, "s"), "similar-shared")
     drop(ends)
     n_shared = shared.count()
     tree = links(classes.select("__fp").distinct(), radius)

@@ -32,7 +32,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, table
+from .common import drop, settled, table
 
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: A table of sources is broadcast to the documents up to this many rows, by count; beyond, it is joined.
@@ -129,7 +129,7 @@ def mixture(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     # what a row is dealt by: its id, and its text where it has none
     own = F.coalesce(i.cast("string"), F.concat(F.lit("\\N:"), F.md5(F.coalesce(t, F.lit("")).cast("binary"))))
     at = hash60(F.lit(seed), F.lit("block"), own)
-    narrow = table(df.select(s.cast("string").alias("__s"), tokens(t).alias("__n"), at.alias("__h")), "mix-rows")
+    narrow = settled(df.select(s.cast("string").alias("__s"), tokens(t).alias("__n"), at.alias("__h")), "mix-rows")
     per = table(plan(narrow, entropy_part, max_repeat, budget, block_tokens), "mix-plan")
     p = per.withColumnRenamed("__s", "__ps")
     blocks = narrow.join(p, F.col("__s").eqNullSafe(F.col("__ps"))).groupBy("__ps", (F.col("__h") % F.col("blocks")).alias("__b")).agg(F.sum("__n").alias("bn"), F.first("n").alias("n"), F.first("budget").alias("budget"))

@@ -407,6 +407,15 @@ def test_line_dedup(spark, rows, none):
 # 8
 
 
+def test_few_files(spark, monkeypatch):
+    """The narrow rows of 16 partitions, of unknown number, are one scratch file: for each file an executor starts two processes or more."""
+    files = []
+    monkeypatch.setattr(temperature_mix, "drop", lambda *tables: files.extend(len(t.inputFiles()) for t in tables))
+    df = spark.range(400, numPartitions=16).selectExpr("id as doc_id", "concat('s', id % 3) as source", "repeat('a b ', 1 + id % 5) as text")
+    got = temperature_mix.mix(df).collect()
+    assert files == [1] and {r.doc_id for r in got} <= set(range(400)) and len(got) > 300
+
+
 def plain_budgets(per, part=0.95, most=4.0, budget=None):
     """Tokens for each source, in plain Python."""
     total = sum(per.values())
